@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import connected_components, join_skewed, maybe_in, text_of, written
+from .common import connected_components, join_skewed, maybe_in, text_batches, text_of, written
 from .exact_dedup import tree_merge
 from .shingles import shingle_sets
 from .tokens import byte_batches, rows_of
@@ -86,7 +86,7 @@ def subset_keys(values: np.ndarray, most: int, percent: int = PERCENT) -> list[i
 
 
 def _sets(batches, words: int):
-    for part in byte_batches(rows_of(batches), 1):
+    for part in byte_batches(rows_of(batches), 1, 1 << 18):
         yield part, shingle_sets([r[1] for r in part], words)
 
 
@@ -137,7 +137,7 @@ def common_elements(source: DataFrame, words: int, least: int = COMMON, most: in
                     sizes[len(s)] += 1
             pending += [(s >> np.uint64(32)).astype(np.uint32) for s in sets if len(s)]
             held += sum(map(len, sets))
-            if held > 1 << 21:
+            if held > 1 << 20:
                 yield packed()
                 pending, held = [], 0
         if pending:
@@ -215,6 +215,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One row for each row of df: id_col, n_shingles, component_id."""
+    text_batches(df.sparkSession)
     source = _source(df, id_col, text_col)
     hot, sizes = common_elements(source, words)
     x = boundary(sizes, percent)

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import text_batches
 from .tokens import byte_batches, rows_of
 
 BUCKETS = 1 << 16
@@ -63,6 +64,7 @@ def pieces(texts: list[str], most: int = 1 << 16) -> tuple[list[str], np.ndarray
 
 def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", rows: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray]:
     """Languages, sorted, and the matrix of log probabilities. Only the columns named are read; all rows of df are for training."""
+    text_batches(df.sparkSession)
     labelled = df.where(F.col(lang_col).isNotNull())
     n = {r[0]: r[1] for r in labelled.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(MOST_LANGUAGES).collect()}
     langs = sorted(n)
@@ -112,6 +114,7 @@ def predict(df: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "d
     """One row for each row of df: id_col, lang_pred, score. Only the text is looked at."""
     from pyspark.sql.pandas.types import to_arrow_type
 
+    text_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)  # at most MOST_LANGUAGES * BUCKETS * 4 bytes
 
     def run(batches: Iterator[pa.RecordBatch]):

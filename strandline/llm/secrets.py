@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of, written
+from .common import text_batches, text_of, written
 from .tokens import byte_batches, rows_of
 
 KINDS = ("assign", "access", "hex")
@@ -148,6 +148,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
                     c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names)
 
+    text_batches(df.sparkSession)
     source = df.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
     cand = pa.list_(pa.struct([(x, pa.int32()) for x in ("start", "end", "band", "bin")]))
     kinds = [to_arrow_type(source.schema["id"].dataType), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.string(), cand, pa.list_(pa.int32())]

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of, written
+from .common import text_batches, text_of, written
 from .shingles import mix
 from .tokens import byte_batches, rows_of
 
@@ -128,6 +128,7 @@ def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
 
 def repeated_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = 1 << 24) -> DataFrame:
     """One row for each row of df: id_col, n_bytes, n_removed, n_spans, kept_sha256, spans (removed runs: start and end in bytes)."""
+    text_batches(df.sparkSession)
     source = df.select(F.col(id_col).cast("long").alias("id"), F.encode(text_of(text_col), "UTF-8").alias("text"))
     total = df.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
     buckets = 1 << max(5, min(20, (total // bucket_bytes).bit_length()))

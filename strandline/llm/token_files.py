@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir, text_of
+from .common import shared_dir, text_batches, text_of
 from .tokens import byte_batches, encoder, rows_of
 
 BLOCK, SEGMENT, CHOSEN = 128, 1 << 16, 90
@@ -84,6 +84,7 @@ def _bytes_of(ids) -> bytes:
 def write_tokens(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None, shard_bytes: int = 8 << 20, end: int = END) -> str:
     """Writes the files of df's documents, encoded with the tokenizer file at path, and returns their folder."""
     spark = df.sparkSession
+    text_batches(spark)
     folder = folder or f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
     sizes = df.agg(F.sum(F.octet_length(F.col(text_col))), F.count(F.lit(1))).first()
     shards = max(1, min((sizes[0] or 0) // shard_bytes, sizes[1], MOST_SHARDS))

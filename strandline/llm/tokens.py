@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import text_batches, text_of
 
 BATCH_BYTES = 1 << 20
 REMEMBERED = 400_000
@@ -109,6 +109,7 @@ def token_counts(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
     from pyspark.sql.pandas.types import to_arrow_type
 
+    text_batches(df.sparkSession)
     text = text_of(text_col)
     source = df.select(F.col(id_col).alias("id"), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"))
     kind = to_arrow_type(source.schema["id"].dataType)
