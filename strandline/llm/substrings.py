@@ -126,7 +126,7 @@ def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kinds.get(k, pa.binary())) for c, k in zip(zip(*rows) if rows else [[]] * len(names), names)], names)
 
 
-def repeated_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = 1 << 24) -> DataFrame:
+def repeated_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = 1 << 23) -> DataFrame:
     """One row for each row of df: id_col, n_bytes, n_removed, n_spans, kept_sha256, spans (removed runs: start and end in bytes)."""
     text_batches(df.sparkSession)
     source = df.select(F.col(id_col).cast("long").alias("id"), F.encode(text_of(text_col), "UTF-8").alias("text"))
@@ -134,7 +134,7 @@ def repeated_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     buckets = 1 << max(5, min(20, (total // bucket_bytes).bit_length()))
 
     def send_units(batches):
-        for part in byte_batches((r for r in rows_of(batches) if r[0] is not None and len(r[1]) >= LENGTH), 1, 1 << 21):
+        for part in byte_batches((r for r in rows_of(batches) if r[0] is not None and len(r[1]) >= LENGTH), 1, 1 << 19):
             u = Units([r[1] for r in part])
             ids = np.array([r[0] for r in part], np.int64)[u.doc]
             yield _batch(list(deal(u.anchor, buckets, [(ids, 8), (u.at, 4), (u.anchor & np.uint64((1 << 40) - 1), 5), (u.key, 8)])), ["bucket", "first", "ids", "c0", "c1", "c2"])
@@ -161,7 +161,7 @@ def repeated_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def send_strings(batches):
         rows = ((i, x, np.array(u)[np.array(o) == 1]) for i, x, u, o in rows_of(batches) if u is not None)
-        for part in byte_batches((r for r in rows if len(r[2])), 1, 1 << 20):
+        for part in byte_batches((r for r in rows if len(r[2])), 1, 1 << 19):
             u = Units([r[1] for r in part])
             pick = _chosen(u, [r[2] for r in part])
             n = u.to[pick] - u.from_[pick] + 1
@@ -184,7 +184,7 @@ def repeated_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     marks = marks.groupBy("id").agg(F.flatten(F.collect_list("starts")).alias("starts"))
 
     def cut(batches):
-        for part in byte_batches(rows_of(batches), 1, 1 << 20):
+        for part in byte_batches(rows_of(batches), 1, 1 << 19):
             yield _cut(part)
 
     out = joined.join(marks, "id", "left").select("id", "text", "units", "open", "starts")
