@@ -10,7 +10,8 @@ that are equal have equal anchors. Neighbouring strings with one anchor are a un
 
 1. Units are dealt by anchor. An anchor in one document only is done with. A unit whose whole text is in a smaller document is
    a copy: all its strings are. What is left of anchors shared by documents with different units is open.
-2. The strings of open units are dealt by their 50-byte identifier, and those that a smaller document has too are marked.
+2. The texts of open units, about 70 bytes each, are dealt by anchor. Their strings' identifiers are refined there, and the
+   strings that a smaller document has too are marked.
 3. Each document's marks are joined into runs.
 
 Rows go in packed batches, one for each bucket of the hash, so a frequent passage is spread over as many rows as there are
@@ -38,6 +39,21 @@ CHUNK = 1 << 22
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
+def grams16(raw: bytes) -> np.ndarray:
+    """The identifier of the 16 bytes at each position, zeros being after the end."""
+    one = np.frombuffer(raw + bytes(2 * LENGTH), np.uint8).astype(np.uint64)
+    two = (one[:-1] << np.uint64(8)) | one[1:]
+    four = (two[:-2] << np.uint64(16)) | two[2:]
+    eight = (four[:-4] << np.uint64(32)) | four[4:]
+    return mix(mix(eight[:-8]) * _A + eight[8:])
+
+
+def strings50(b16: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """The identifiers of the LENGTH bytes at the positions s: those of 32 bytes from 16, then these from 32."""
+    b32 = [mix(b16[x] * _A + b16[x + 16]) for x in (s, s + (LENGTH - 32))]
+    return mix(b32[0] * _B + b32[1])
+
+
 class Units:
     """The units of some texts. doc: the text of each; s0, s1: first and last string, as an offset in its text; anchor, key: identifiers; at: unit number within the text."""
 
@@ -45,12 +61,8 @@ class Units:
         parts = [(d, k, x[k : k + CHUNK + LENGTH - 1]) for d, x in enumerate(texts) if len(x) >= LENGTH for k in range(0, len(x) - LENGTH + 1, CHUNK)]
         size = np.array([len(x) for *_, x in parts], np.int64)
         begin = np.concatenate([[0], np.cumsum(size)])
-        one = np.frombuffer(b"".join(x for *_, x in parts) + bytes(2 * LENGTH), np.uint8).astype(np.uint64)
-        two = (one[:-1] << np.uint64(8)) | one[1:]
-        four = (two[:-2] << np.uint64(16)) | two[2:]
-        eight = (four[:-4] << np.uint64(32)) | four[4:]
-        del one, two, four
-        self.b16 = mix(mix(eight[:-8]) * _A + eight[8:])
+        self.raw = b"".join(x for *_, x in parts)
+        self.b16 = grams16(self.raw)
         low, at = (self.b16 >> np.uint64(32)).astype(np.uint32), np.arange(len(self.b16), dtype=np.int32)
         for step in (1, 2, 4, 8, 16, LENGTH - GRAM + 1 - 32):
             first = low[:-step] <= low[step:]
@@ -70,11 +82,8 @@ class Units:
         start = np.searchsorted(self.doc, self.doc)
         self.at = np.arange(len(self.doc)) - start
 
-    def b32(self, s: np.ndarray) -> np.ndarray:
-        return mix(self.b16[s] * _A + self.b16[s + 16])
-
     def b50(self, s: np.ndarray) -> np.ndarray:
-        return mix(self.b32(s) * _B + self.b32(s + (LENGTH - 32)))
+        return strings50(self.b16, s)
 
 
 def planes(x: np.ndarray, n: int) -> bytes:
@@ -137,10 +146,10 @@ def repeated_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for part in byte_batches((r for r in rows_of(batches) if r[0] is not None and len(r[1]) >= LENGTH), 1, 1 << 19):
             u = Units([r[1] for r in part])
             ids = np.array([r[0] for r in part], np.int64)[u.doc]
-            yield _batch(list(deal(u.anchor, buckets, [(ids, 8), (u.at, 4), (u.anchor & np.uint64((1 << 40) - 1), 5), (u.key, 8)])), ["bucket", "first", "ids", "c0", "c1", "c2"])
+            yield _batch(list(deal(u.anchor, buckets, [(ids, 8), (u.at, 4), (u.anchor, 4), (u.key, 7)])), ["bucket", "first", "ids", "c0", "c1", "c2"])
 
     def refine_units(t: pa.Table) -> pa.Table:
-        doc, at, anchor, key = gathered(t, [4, 5, 8])
+        doc, at, anchor, key = gathered(t, [4, 4, 7])
         order = np.lexsort((doc, key, anchor))
         doc, at, anchor, key = doc[order], at[order], anchor[order], key[order]
         new_anchor, new_unit = _edges(anchor), _edges(anchor, key)
@@ -164,22 +173,26 @@ def repeated_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for part in byte_batches((r for r in rows if len(r[2])), 1, 1 << 19):
             u = Units([r[1] for r in part])
             pick = _chosen(u, [r[2] for r in part])
-            n = u.to[pick] - u.from_[pick] + 1
-            s = np.repeat(u.from_[pick] - np.concatenate([[0], np.cumsum(n)])[:-1], n) + np.arange(int(n.sum()))
-            ids = np.array([r[0] for r in part], np.int64)[np.repeat(u.doc[pick], n)]
-            key = u.b50(s)
-            yield _batch(list(deal(key, buckets, [(ids, 8), (s + np.repeat(u.shift[pick], n), 5), (key, 8), (np.repeat(u.anchor[pick], n), 4)])), ["bucket", "first", "ids", "c0", "c1", "c2"])
+            ids = np.array([r[0] for r in part], np.int64)[u.doc[pick]]
+            first, last = u.from_[pick], u.to[pick]
+            rows = deal(u.anchor[pick], buckets, [(ids, 8), (u.s0[pick], 5), (last - first + 1, 1), (np.arange(len(pick)), 4)])
+            yield _batch([(*r[:-1], b"".join(u.raw[first[k] : last[k] + LENGTH] for k in unplanes(r[-1], 4).astype(np.int64))) for r in rows], ["bucket", "first", "ids", "c0", "c1", "text"])
 
     def refine_strings(t: pa.Table) -> pa.Table:
-        doc, at, key, anchor = gathered(t, [5, 8, 4])
-        order = np.lexsort((doc, anchor, key))
-        doc, at, key, anchor = doc[order], at[order], key[order], anchor[order]
-        new = _edges(key, anchor)
-        say = doc > doc[np.nonzero(new)[0]][np.cumsum(new) - 1]
+        doc, at, n = gathered(t, [5, 1])
+        n = n.astype(np.int64)
+        b16 = grams16(b"".join(t["text"].to_pylist()))
+        begin = np.concatenate([[0], np.cumsum(n + LENGTH - 1)])[:-1]
+        step = np.arange(int(n.sum())) - np.repeat(np.concatenate([[0], np.cumsum(n)])[:-1], n)
+        key = strings50(b16, np.repeat(begin, n) + step)
+        doc, at = np.repeat(doc, n), np.repeat(at.astype(np.int64), n) + step
+        order = np.lexsort((doc, key))
+        doc, at, key = doc[order], at[order], key[order]
+        say = doc > doc[np.nonzero(_edges(key))[0]][np.cumsum(_edges(key)) - 1]
         ids, starts = _lists(doc[say], at[say])
         return pa.Table.from_arrays([ids, starts], names=["id", "starts"])
 
-    strings = joined.mapInArrow(send_strings, "bucket int, first long, ids binary, c0 binary, c1 binary, c2 binary")
+    strings = joined.mapInArrow(send_strings, "bucket int, first long, ids binary, c0 binary, c1 binary, text binary")
     marks = strings.groupBy("bucket").applyInArrow(refine_strings, "id long, starts array<int>")
     marks = marks.groupBy("id").agg(F.flatten(F.collect_list("starts")).alias("starts"))
 
