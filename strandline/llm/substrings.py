@@ -150,6 +150,7 @@ def repeated_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def refine_units(t: pa.Table) -> pa.Table:
         doc, at, anchor, key = gathered(t, [4, 4, 7])
+        at, anchor = at.astype(np.int32), anchor.astype(np.uint32)
         order = np.lexsort((doc, key, anchor))
         doc, at, anchor, key = doc[order], at[order], anchor[order], key[order]
         new_anchor, new_unit = _edges(anchor), _edges(anchor, key)
@@ -181,30 +182,63 @@ def repeated_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def refine_strings(t: pa.Table) -> pa.Table:
         doc, at, n = gathered(t, [5, 1])
         n = n.astype(np.int64)
-        b16 = grams16(b"".join(t["text"].to_pylist()))
-        begin = np.concatenate([[0], np.cumsum(n + LENGTH - 1)])[:-1]
-        step = np.arange(int(n.sum())) - np.repeat(np.concatenate([[0], np.cumsum(n)])[:-1], n)
-        key = strings50(b16, np.repeat(begin, n) + step)
-        doc, at = np.repeat(doc, n), np.repeat(at.astype(np.int64), n) + step
-        order = np.lexsort((doc, key))
-        doc, at, key = doc[order], at[order], key[order]
-        say = doc > doc[np.nonzero(_edges(key))[0]][np.cumsum(_edges(key)) - 1]
-        ids, starts = _lists(doc[say], at[say])
-        return pa.Table.from_arrays([ids, starts], names=["id", "starts"])
+        edge = np.concatenate([[0], np.cumsum(n)])
+        key, row = np.empty(edge[-1], np.uint64), 0
+        for texts, count in _portions(t["text"].to_pylist(), [len(x) for x in t["c1"].to_pylist()]):
+            b16, m = grams16(texts), n[row : row + count]
+            begin = np.concatenate([[0], np.cumsum(m + LENGTH - 1)])[:-1]
+            step = np.arange(int(m.sum())) - np.repeat(edge[row : row + count] - edge[row], m)
+            key[edge[row] : edge[row + count]] = strings50(b16, np.repeat(begin, m) + step)
+            row += count
+        # A frequent anchor may have millions of strings: they are refined in parts by their identifiers.
+        parts = max(1, len(key) >> 19)
+        found = [_marked(doc, at, edge, key, np.nonzero(key % np.uint64(parts) == k)[0]) for k in range(parts)]
+        doc, at = (np.concatenate(x) for x in zip(*found))
+        order = np.lexsort((at, doc))
+        doc, at = doc[order], at[order]
+        new = np.nonzero(_edges(doc, at - np.arange(len(at))))[0] if len(at) else at
+        size = np.diff(np.concatenate([new, [len(at)]])).astype(np.int64)
+        ids, starts, sizes = _lists(doc[new], at[new], size)
+        return pa.Table.from_arrays([ids, starts, sizes], names=["id", "starts", "sizes"])
 
     strings = joined.mapInArrow(send_strings, "bucket int, first long, ids binary, c0 binary, c1 binary, text binary")
-    marks = strings.groupBy("bucket").applyInArrow(refine_strings, "id long, starts array<int>")
-    marks = marks.groupBy("id").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+    marks = strings.groupBy("bucket").applyInArrow(refine_strings, "id long, starts array<int>, sizes array<int>")
+    marks = marks.groupBy("id").agg(F.collect_list(F.struct("starts", "sizes")).alias("x")).select("id", F.flatten("x.starts").alias("starts"), F.flatten("x.sizes").alias("sizes"))
 
     def cut(batches):
         for part in byte_batches(rows_of(batches), 1, 1 << 19):
             yield _cut(part)
 
-    out = joined.join(marks, "id", "left").select("id", "text", "units", "open", "starts")
+    out = joined.join(marks, "id", "left").select("id", "text", "units", "open", "starts", "sizes")
     out = out.mapInArrow(cut, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:int,end:int>>")
     return out.select(F.col("id").cast(df.schema[id_col].dataType).alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")
 
 
+def _portions(texts: list[bytes], counts: list[int], most: int = 1 << 19):
+    """texts joined up to about `most` bytes, with how many units they hold."""
+    held, size, n = [], 0, 0
+    for x, c in zip(texts, counts):
+        held.append(x)
+        size, n = size + len(x), n + c
+        if size >= most:
+            yield b"".join(held), n
+            held, size, n = [], 0, 0
+    if held:
+        yield b"".join(held), n
+
+
+def _marked(doc: np.ndarray, at: np.ndarray, edge: np.ndarray, key: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Documents and places of those strings of pick that a smaller document has too."""
+    unit = np.searchsorted(edge, pick, side="right") - 1
+    d, k = doc[unit], key[pick]
+    order = np.lexsort((d, k))
+    d, k = d[order], k[order]
+    new = _edges(k) if len(k) else np.zeros(0, bool)
+    say = d > d[np.nonzero(new)[0]][np.cumsum(new) - 1]
+    chosen = order[say]
+    return d[say], at[unit[chosen]].astype(np.int64) + pick[chosen] - edge[unit[chosen]]
+
+
 def _by_id(told: DataFrame) -> DataFrame:
     return told.groupBy("id").agg(F.collect_list(F.struct("units", "open")).alias("x")).select("id", F.flatten("x.units").alias("units"), F.flatten("x.open").alias("open"))
 
@@ -217,7 +251,7 @@ def _chosen(u: Units, wanted: list[np.ndarray]) -> np.ndarray:
 
 
 def _cut(part: list[tuple]) -> pa.RecordBatch:
-    copied = [(k, np.array(u)[np.array(o) == 0]) for k, (_, _, u, o, _) in enumerate(part) if u is not None]
+    copied = [(k, np.array(u)[np.array(o) == 0]) for k, (_, _, u, o, *_) in enumerate(part) if u is not None]
     copied = [(k, w) for k, w in copied if len(w)]
     u = Units([part[k][1] for k, _ in copied])
     pick = _chosen(u, [w for _, w in copied])
@@ -229,11 +263,11 @@ def _cut(part: list[tuple]) -> pa.RecordBatch:
         at = order[edge[j] : edge[j + 1]]
         marks[k] = [(s0[at], s1[at])]
     rows = []
-    for k, (id_, text, _, _, starts) in enumerate(part):
+    for k, (id_, text, _, _, starts, sizes) in enumerate(part):
         spans = marks.get(k, [])
         if starts:
             x = np.array(starts)
-            spans = [*spans, (x, x)]
+            spans = [*spans, (x, x + np.array(sizes) - 1)]
         step = np.zeros(len(text) + 1, np.int32)
         for a, b in spans:
             np.add.at(step, a, 1)
