@@ -151,17 +151,11 @@ def repeated_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def refine_units(t: pa.Table) -> pa.Table:
         doc, at, anchor, key = gathered(t, [4, 4, 7])
         at, anchor = at.astype(np.int32), anchor.astype(np.uint32)
-        order = np.lexsort((doc, key, anchor))
-        doc, at, anchor, key = doc[order], at[order], anchor[order], key[order]
-        new_anchor, new_unit = _edges(anchor), _edges(anchor, key)
-        a, u = np.cumsum(new_anchor) - 1, np.cumsum(new_unit) - 1
-        fa, fu = np.nonzero(new_anchor)[0], np.nonzero(new_unit)[0]
-        copy = doc > doc[fu][u]
-        many = np.add.reduceat(new_unit, fa)[a] > 1
-        wide = np.maximum.reduceat(doc, fa) > np.minimum.reduceat(doc, fa)
-        open_ = ~copy & many & wide[a]
-        say = copy | open_
-        ids, units, kinds = _lists(doc[say], at[say], open_[say])
+        # Anchors are refined in parts, so that a frequent one doesn't widen what is sorted at once beyond itself.
+        parts = max(1, len(key) >> 18)
+        found = [_refined(doc, at, anchor, key, np.nonzero(mix(anchor.astype(np.uint64)) % np.uint64(parts) == k)[0]) for k in range(parts)]
+        doc, at, open_ = (np.concatenate(x) for x in zip(*found))
+        ids, units, kinds = _lists(doc, at, open_)
         return pa.Table.from_arrays([ids, units, kinds], names=["id", "units", "open"])
 
     packed = source.mapInArrow(send_units, "bucket int, first long, ids binary, c0 binary, c1 binary, c2 binary")
@@ -214,6 +208,24 @@ def repeated_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return out.select(F.col("id").cast(df.schema[id_col].dataType).alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")
 
 
+def _refined(doc: np.ndarray, at: np.ndarray, anchor: np.ndarray, key: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the units of pick, those that are copies of a smaller document's or open: document, unit number, whether open."""
+    doc, at, anchor, key = doc[pick], at[pick], anchor[pick], key[pick]
+    if not len(doc):
+        return doc, at, np.zeros(0, bool)
+    order = np.lexsort((doc, key, anchor))
+    doc, at, anchor, key = doc[order], at[order], anchor[order], key[order]
+    new_anchor, new_unit = _edges(anchor), _edges(anchor, key)
+    a, u = np.cumsum(new_anchor) - 1, np.cumsum(new_unit) - 1
+    fa, fu = np.nonzero(new_anchor)[0], np.nonzero(new_unit)[0]
+    copy = doc > doc[fu][u]
+    many = np.add.reduceat(new_unit.astype(np.int32), fa)[a] > 1
+    wide = np.maximum.reduceat(doc, fa) > np.minimum.reduceat(doc, fa)
+    open_ = ~copy & many & wide[a]
+    say = copy | open_
+    return doc[say], at[say], open_[say]
+
+
 def _portions(texts: list[bytes], counts: list[int], most: int = 1 << 19):
     """texts joined up to about `most` bytes, with how many units they hold."""
     held, size, n = [], 0, 0
