@@ -155,16 +155,16 @@ def repeated_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         parts = max(1, len(key) >> 18)
         found = [_refined(doc, at, anchor, key, np.nonzero(mix(anchor.astype(np.uint64)) % np.uint64(parts) == k)[0]) for k in range(parts)]
         doc, at, open_ = (np.concatenate(x) for x in zip(*found))
-        ids, units, kinds = _lists(doc, at, open_)
-        return pa.Table.from_arrays([ids, units, kinds], names=["id", "units", "open"])
+        return pa.Table.from_arrays([pa.array(doc), pa.array(at * np.int32(2) + open_)], names=["id", "unit"])
 
     packed = source.mapInArrow(send_units, "bucket int, first long, ids binary, c0 binary, c1 binary, c2 binary")
-    told = packed.groupBy("bucket").applyInArrow(refine_units, "id long, units array<int>, open array<int>")
-    told = written(_by_id(told))
+    # A row for each unit that counts, twice its number and one more if it is open: their number goes with the bytes, that of (document, bucket) pairs doesn't.
+    told = packed.groupBy("bucket").applyInArrow(refine_units, "id long, unit int")
+    told = written(told.groupBy("id").agg(F.collect_list("unit").alias("units")))
     joined = source.join(told, "id", "left")
 
     def send_strings(batches):
-        rows = ((i, x, np.array(u)[np.array(o) == 1]) for i, x, u, o in rows_of(batches) if u is not None)
+        rows = ((i, x, _units(u, True)) for i, x, u in rows_of(batches) if u is not None)
         for part in byte_batches((r for r in rows if len(r[2])), 1, 1 << 19):
             u = Units([r[1] for r in part])
             pick = _chosen(u, [r[2] for r in part])
@@ -203,7 +203,7 @@ def repeated_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for part in byte_batches(rows_of(batches), 1, 1 << 19):
             yield _cut(part)
 
-    out = joined.join(marks, "id", "left").select("id", "text", "units", "open", "starts", "sizes")
+    out = joined.join(marks, "id", "left").select("id", "text", "units", "starts", "sizes")
     out = out.mapInArrow(cut, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:int,end:int>>")
     return out.select(F.col("id").cast(df.schema[id_col].dataType).alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")
 
@@ -251,8 +251,10 @@ def _marked(doc: np.ndarray, at: np.ndarray, edge: np.ndarray, key: np.ndarray,
     return d[say], at[unit[chosen]].astype(np.int64) + pick[chosen] - edge[unit[chosen]]
 
 
-def _by_id(told: DataFrame) -> DataFrame:
-    return told.groupBy("id").agg(F.collect_list(F.struct("units", "open")).alias("x")).select("id", F.flatten("x.units").alias("units"), F.flatten("x.open").alias("open"))
+def _units(told: list[int], open_: bool) -> np.ndarray:
+    """The numbers of the open units, or of the copies."""
+    x = np.sort(np.array(told, np.int64))
+    return x[x % 2 == open_] >> 1
 
 
 def _chosen(u: Units, wanted: list[np.ndarray]) -> np.ndarray:
@@ -263,7 +265,7 @@ def _chosen(u: Units, wanted: list[np.ndarray]) -> np.ndarray:
 
 
 def _cut(part: list[tuple]) -> pa.RecordBatch:
-    copied = [(k, np.array(u)[np.array(o) == 0]) for k, (_, _, u, o, *_) in enumerate(part) if u is not None]
+    copied = [(k, _units(u, False)) for k, (_, _, u, *_) in enumerate(part) if u is not None]
     copied = [(k, w) for k, w in copied if len(w)]
     u = Units([part[k][1] for k, _ in copied])
     pick = _chosen(u, [w for _, w in copied])
@@ -275,7 +277,7 @@ def _cut(part: list[tuple]) -> pa.RecordBatch:
         at = order[edge[j] : edge[j + 1]]
         marks[k] = [(s0[at], s1[at])]
     rows = []
-    for k, (id_, text, _, _, starts, sizes) in enumerate(part):
+    for k, (id_, text, _, starts, sizes) in enumerate(part):
         spans = marks.get(k, [])
         if starts:
             x = np.array(starts)
