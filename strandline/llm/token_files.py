@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir, text_batches, text_of
+from .common import shared_dir, text_batches, text_of, written
 from .tokens import byte_batches, encoder, rows_of
 
 BLOCK, SEGMENT, CHOSEN = 128, 1 << 16, 90
@@ -44,36 +44,42 @@ def pack_ids(ids: np.ndarray) -> bytes:
     offset = full - least[:, None]
     ranked = np.sort(offset, axis=1)[:, (BLOCK * CHOSEN + 99) // 100 - 1] if n else least
     width = np.ceil(np.log2(ranked.astype(np.float64) + 1)).astype(np.uint8)
-    bits = (offset[:, :, None] >> np.arange(32, dtype=np.uint32)) & 1
-    out, starts, at = [], [], 0
-    for k in range(blocks):
-        w = int(width[k])
-        high = offset[k] >> np.uint32(w) if w < 32 else np.zeros(BLOCK, np.uint32)
-        odd = np.nonzero(high)[0].astype(np.uint8)
-        body = np.packbits(bits[k, :, :w].astype(np.uint8), bitorder="little").tobytes()
-        block = least[k].tobytes() + bytes([w, len(odd)]) + body + odd.tobytes() + high[odd].tobytes()
-        starts.append(at)
-        at += len(block)
-        out.append(block)
-    return np.array([n, blocks, *starts], np.uint32).tobytes() + b"".join(out)
+    body: list[bytes] = [b""] * blocks
+    for w in np.unique(width).tolist():  # all blocks of one width at once
+        at = np.nonzero(width == w)[0]
+        bits = np.unpackbits(np.ascontiguousarray(offset[at].astype("<u4")).view(np.uint8).reshape(len(at), BLOCK, 4), axis=2, bitorder="little")[:, :, :w]
+        raw, size = np.packbits(bits.reshape(len(at), -1), axis=1, bitorder="little").tobytes(), BLOCK * w // 8
+        for j, k in enumerate(at.tolist()):
+            body[k] = raw[j * size : (j + 1) * size]
+    high = np.where(width[:, None] < 32, offset >> np.minimum(width, 31)[:, None], 0).astype(np.uint32)
+    block, place = np.nonzero(high)
+    odd, over = place.astype(np.uint8).tobytes(), high[block, place].tobytes()
+    edge = np.searchsorted(block, np.arange(blocks + 1))
+    head = np.zeros((blocks, 6), np.uint8)
+    head[:, :4], head[:, 4], head[:, 5] = least.astype("<u4").view(np.uint8).reshape(-1, 4), width, np.diff(edge)
+    heads, edge = head.tobytes(), edge.tolist()
+    out = [b"".join((heads[6 * k : 6 * k + 6], body[k], odd[e:f], over[4 * e : 4 * f])) for k, (e, f) in enumerate(zip(edge, edge[1:]))]
+    starts = np.cumsum([0, *map(len, out)])[:-1]
+    return np.array([n, blocks, *starts.tolist()], np.uint32).tobytes() + b"".join(out)
 
 
 def unpack_ids(payload: bytes) -> np.ndarray:
     n, blocks = np.frombuffer(payload, np.uint32, 2).tolist()
     start = np.frombuffer(payload, np.uint32, blocks, 8).astype(np.int64) + 8 + 4 * blocks
-    out = np.empty((blocks, BLOCK), np.uint32)
-    for k, s in enumerate(start.tolist()):
-        least, w, m = int.from_bytes(payload[s : s + 4], "little"), payload[s + 4], payload[s + 5]
-        size = BLOCK * w // 8
+    raw, out = np.frombuffer(payload, np.uint8), np.zeros((blocks, BLOCK), np.uint32)
+    width, count = raw[start + 4].astype(np.int64), raw[start + 5].astype(np.int64)
+    for w in np.unique(width).tolist():
+        at = np.nonzero(width == w)[0]
         if w:
-            bits = np.unpackbits(np.frombuffer(payload, np.uint8, size, s + 6), bitorder="little").reshape(BLOCK, w)
-            row = bits @ (np.uint32(1) << np.arange(w, dtype=np.uint32))
-        else:
-            row = np.zeros(BLOCK, np.uint32)
-        if m:
-            odd = np.frombuffer(payload, np.uint8, m, s + 6 + size)
-            row[odd] += np.frombuffer(payload[s + 6 + size + m : s + 6 + size + 5 * m], np.uint32) << np.uint32(w)
-        out[k] = row + np.uint32(least)
+            bits = np.zeros((len(at), BLOCK, 32), np.uint8)
+            bits[:, :, :w] = np.unpackbits(raw[(start[at] + 6)[:, None] + np.arange(BLOCK * w // 8)], axis=1, bitorder="little").reshape(-1, BLOCK, w)
+            out[at] = np.packbits(bits, axis=2, bitorder="little").view("<u4")[:, :, 0]
+    block = np.repeat(np.arange(blocks), count)
+    nth = np.arange(len(block)) - np.repeat(np.cumsum(count) - count, count)
+    lists = (start + 6 + BLOCK * width // 8)[block]
+    high = raw[(lists + count[block] + 4 * nth)[:, None] + np.arange(4)].copy().view("<u4")[:, 0] if len(block) else np.zeros(0, np.uint32)
+    out[block, raw[lists + nth]] |= high << width[block].astype(np.uint32)
+    out += raw[start[:, None] + np.arange(4)].copy().view("<u4")
     return out.reshape(-1)[:n]
 
 
@@ -167,7 +173,8 @@ def read_index(spark: SparkSession, folder: str, id_col: str = "doc_id") -> Data
                 rows.append((shard, d["place"], d["id"], d["at"], d["n_tokens"], segment, b - a, zlib.crc32(ids[a:b].astype("<u4").tobytes())))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
-    checked = files.select("shard", "segment", "first_id", "payload", "docs").mapInArrow(run, "shard int, place long, id long, at long, n_tokens long, segment long, n long, crc long")
+    # Written, so that the files are decoded once: few numbers for each document.
+    checked = written(files.select("shard", "segment", "first_id", "payload", "docs").mapInArrow(run, "shard int, place long, id long, at long, n_tokens long, segment long, n long, crc long"))
     checked = checked.join(F.broadcast(before), "shard").withColumn("start", F.col("before") + F.col("at"))
     whole = checked.where("n = n_tokens").select(F.col("id").alias(id_col), "start", "n_tokens", F.col("crc").alias("ids_crc32"))
     cut = checked.where("n < n_tokens").groupBy("shard", "place").agg(F.first("id").alias("id"), F.first("start").alias("start"), F.first("n_tokens").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("segment", "n", "crc"))).alias("parts"))
@@ -177,7 +184,6 @@ def read_index(spark: SparkSession, folder: str, id_col: str = "doc_id") -> Data
             crc = [crc_of([(p["n"] * 4, p["crc"]) for p in x]) for x in b["parts"].to_pylist()]
             yield pa.RecordBatch.from_arrays([b["id"], b["start"], b["n_tokens"], pa.array(crc, pa.int64())], [id_col, "start", "n_tokens", "ids_crc32"])
 
-    # Decoded twice, once for whole documents and once for cut ones, which are few: nothing is kept in between.
     return whole.unionByName(cut.select("id", "start", "n_tokens", "parts").mapInArrow(join, f"{id_col} long, start long, n_tokens long, ids_crc32 long"))
 
 

@@ -4,7 +4,7 @@ Texts are gathered into batches of about BATCH_BYTES bytes, whatever their numbe
 short ones are one. For byte-level BPE files a text is split at safe boundaries: before white space that follows
 something else, and between a letter and a sentence mark. No pre-token crosses these, so the pieces' tokens are the text's.
 Pieces repeat as words do: each worker remembers the tokens of the pieces it has met (bounded) and has the library
-encode, in one batch, only those it has not. Other tokenizer files encode whole texts.
+encode, as lines of joint texts, only those it has not. Other tokenizer files encode whole texts.
 
 Defined results: null is empty; an empty text has 0 tokens; strings of special tokens inside a text are what the
 library makes of them by default.
@@ -15,7 +15,9 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterable, Iterator
+from itertools import chain, filterfalse
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,10 +25,12 @@ from pyspark.sql import functions as F
 from .common import text_batches, text_of
 
 BATCH_BYTES = 1 << 20
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 # White space of the Unicode property, as the tokenizers' patterns know it.
 _W = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-PIECE = re.compile(f"[{_W}]*(?:[^{_W}.,;:!?]*[^\\W\\d_](?=[.,;:!?])|[^{_W}]+)|[{_W}]+")
+PIECE = re.compile(f"[{_W}]*(?:[^{_W}.,;:!?]+(?:(?<=[^\\W\\d_])(?=[.,;:!?])|[^{_W}]*)|[^{_W}]+)|[{_W}]+")
+#: Pieces that can be lines of one text: the line feed between two of them is a token of its own.
+LINE, LINES = re.compile(r" ?\S+"), 2000
 _loaded: dict[str, Encoder] = {}
 
 
@@ -49,6 +53,7 @@ class Encoder:
             model.no_padding()
             self.encode = lambda texts: [x.ids for x in model.encode_batch_fast(texts, add_special_tokens=False)]
             self.pieces = PIECE if _splits(model) else None
+            self.feed = self.encode(["\n"])[0]
 
     def of(self, texts: list[str]) -> list[list]:
         """For each text, what is kept of its pieces, in order."""
@@ -58,8 +63,16 @@ class Encoder:
         if len(self.memory) > REMEMBERED:
             self.memory.clear()
         memory = self.memory
-        new = [x for x in set().union(*cut) if x not in memory]
-        memory.update(zip(new, map(self.keep, self.encode(new))))
+        new = set(filterfalse(memory.__contains__, chain.from_iterable(cut)))
+        line = [x for x in new if LINE.fullmatch(x)] if len(self.feed) == 1 else []
+        for k in range(0, len(line), LINES):
+            part = line[k : k + LINES]
+            ids = np.array(self.encode(["\n".join(part)])[0], np.uint32)
+            at = np.nonzero(ids == self.feed[0])[0].tolist()
+            if len(at) == len(part) - 1:
+                memory.update((x, self.keep(ids[a + 1 : b])) for x, a, b in zip(part, [-1, *at], [*at, len(ids)]))
+        rest = [x for x in new if x not in memory]
+        memory.update(zip(rest, map(self.keep, self.encode(rest))))
         return [list(map(memory.__getitem__, x)) for x in cut]
 
 
