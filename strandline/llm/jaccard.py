@@ -38,7 +38,7 @@ from .tokens import byte_batches, rows_of
 
 WORDS, PERCENT = 5, 80
 #: Documents an element must be in to be common, and elements the table of common ones holds.
-COMMON, MOST_COMMON = 32, 1_000_000
+COMMON, MOST_COMMON = 8, 1_000_000
 #: Rounds of comparing the lists of common elements with pivots before what is left is paired.
 ROUNDS = 2
 LARGEST_LIGHT = 24
