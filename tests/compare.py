@@ -20,7 +20,7 @@ def connect(folder: str) -> duckdb.DuckDBPyConnection:
 
 
 def _cell(x):
-    if x is None or x is pd.NaT:
+    if x is None or x is pd.NaT or x is pd.NA:
         return None
     if isinstance(x, float):
         return None if math.isnan(x) else float(f"{x:.9g}") + 0.0
