@@ -97,10 +97,10 @@ def l1(t):
   select symbol, i0, any_value(p0) as p0, any_value(vol) as vol, min(case when high > p0 + vol then bar_id end) as iu, min(case when low < p0 - vol then bar_id end) as il, max(case when step = 10 then close end) as pe from p group by symbol, i0),
 h as (select *, case when iu is not null and (il is null or iu <= il) then 'up' when il is not null then 'down' when pe is not null then 'expiry' end as touch from g),
 k as (select *, case touch when 'up' then p0 + vol when 'down' then p0 - vol when 'expiry' then pe end as p1 from h)
-select symbol, i0, case touch when 'up' then iu when 'down' then il when 'expiry' then i0 + 10 end as i1, touch, round(p1, 6) as p1, round(p1 / p0 - 1 - 0.002, 9) as ret from k""")
+select symbol, i0, case touch when 'up' then iu when 'down' then il when 'expiry' then i0 + 10 end as i1, touch, round(p1, 6) as p1, round(p1 / p0 - 1 - 0.002, 12) as ret from k""")
 def l2(t):
     out = L.range_barriers(falling(t), t.bars, 10, 1.0, 1.0, "vol", commission=0.001)
-    return out.withColumn("p1", F.round("p1", 6)).withColumn("ret", F.round("ret", 9))
+    return out.withColumn("p1", F.round("p1", 6)).withColumn("ret", F.round("ret", 12))
 
 
 @query("l5_trailing_stop", EV + _PATH.format(a="", b="+ 9") + """, q as (select *, max(close) over (partition by symbol, i0 order by bar_id) as top, abs(exp(-vol) - 1) * p0 as d1, abs(exp(-vol * 0.5) - 1) * p0 as d2 from p),
@@ -116,19 +116,19 @@ def l7(t):
     return L.first_touch(falling(t), t.bars, 1.0, 1.0, longest=10)
 
 
-@query("l8_bins", EV + """ select e.symbol, e.i0, round(b.close / e.p0 - 1 - 0.002, 9) as ret, sign(b.close / e.p0 - 1)::bigint as bin from ev e join bars b on b.symbol = e.symbol and b.bar_id = e.i1""")
+@query("l8_bins", EV + """ select e.symbol, e.i0, round(b.close / e.p0 - 1 - 0.002, 12) as ret, sign(b.close / e.p0 - 1)::bigint as bin from ev e join bars b on b.symbol = e.symbol and b.bar_id = e.i1""")
 def l8(t):
     ret, bin_ = L.bins(F.col("p0"), F.col("p1"), 0.001)
     p1 = t.bars.select("symbol", F.col("bar_id").alias("i1"), F.col("close").alias("p1"))
-    return falling(t).join(p1, ["symbol", "i1"]).select("symbol", "i0", F.round(ret, 9).alias("ret"), bin_.alias("bin"))
+    return falling(t).join(p1, ["symbol", "i1"]).select("symbol", "i0", F.round(ret, 12).alias("ret"), bin_.alias("bin"))
 
 
 _AHEAD = (1, 5, 20)
 
 
-@query("l10_horizon_returns", f"with {BARS} select symbol, bar_id, " + ", ".join(f"round(lead(close, {h}) over (partition by symbol order by bar_id) / close - 1 - 0.002, 9) as ret_{h}" for h in _AHEAD) + " from bars")
+@query("l10_horizon_returns", f"with {BARS} select symbol, bar_id, " + ", ".join(f"round(lead(close, {h}) over (partition by symbol order by bar_id) / close - 1 - 0.002, 12) as ret_{h}" for h in _AHEAD) + " from bars")
 def l10(t):
-    return t.bars.select("symbol", "bar_id", *[F.round(F.lead("close", h).over(order()) / F.col("close") - 1 - 0.002, 9).alias(f"ret_{h}") for h in _AHEAD])
+    return t.bars.select("symbol", "bar_id", *[F.round(F.lead("close", h).over(order()) / F.col("close") - 1 - 0.002, 12).alias(f"ret_{h}") for h in _AHEAD])
 
 
 _WEIGHT = EV + """, l as (select symbol, max(bar_id) as fin from bars group by symbol), e as (select symbol, i0, least(i1, fin) as i1 from ev join l using (symbol)),
