@@ -1,7 +1,9 @@
 """Secret scans: fixed patterns, and a randomness test battery on what else looks like a key.
 
-Candidates are maximal runs of TOKEN characters, CANDIDATE or longer, outside the fixed patterns' spans. For each the
-encoding is inferred from its characters (decimal, hex, base32, base62, base64). The battery:
+Candidates are maximal runs of TOKEN characters outside the fixed patterns' spans, cut at every `=` that is not padding at
+the run's end; a run that mixes `+/` with `-_` is no one encoding and gives its runs without `-_`, without `+/` and without
+both, so spans of such a run may overlap. Each, CANDIDATE or longer, is tested in the smallest alphabet that holds its
+characters (decimal, hex, base32, base36, base62, base64; hex and base36 in lower or upper case). The battery:
 
 * fit to randomness: chi-squared of the symbol counts against a uniform alphabet, the Wald-Wolfowitz runs of symbols above
   and below the alphabet's middle, and the lag-one serial correlation of symbol values. A candidate that one of them
@@ -41,15 +43,21 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 CANDIDATE = 20
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % CANDIDATE)
 FIT, FDR = 0.01, 0.01
+# A run between signs of equality with its padding, and the runs of one kind in it.
+VALUE = re.compile(r"[A-Za-z0-9+/_-]+(?:=+(?![A-Za-z0-9+/_=-]))?")
+UNMIXED = [re.compile(x) for x in (r"[A-Za-z0-9+/]+=*", r"[A-Za-z0-9_-]+=*", r"[A-Za-z0-9]+=*")]
 BANDS = (20, 28, 40, 64)
 BINS, BIN_WIDTH = 400, 0.1
 # Ordinary text: how often two symbols of a word agree, and how often neighbours differ in class (lower, upper, digit, other).
 WORD_MATCH, CLASS_CHANGE = 0.065, 0.12
 
-ALPHABETS = {  # Fixed values: each encoding's symbols in the order of their values.
+ALPHABETS = {  # Fixed values: each encoding's symbols in the order of their values, smaller alphabets first.
     "decimal": "0123456789",
     "hex": "0123456789abcdef",
+    "hex_upper": "0123456789ABCDEF",
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
+    "base36": "0123456789abcdefghijklmnopqrstuvwxyz",
+    "base36_upper": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ",
     "base62": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
     "base64url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
@@ -115,22 +123,44 @@ def battery(token: str) -> float | None:
     return (-half + math.log1p(half)) / math.log(10)
 
 
-def candidates(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[int, int, int, int]]:
-    """(start, end, band, bin) of the runs outside spans that pass for random; a bin's p-values are rounded up."""
-    out = []
+def pieces(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+    """(start, end) of what is tested, by start."""
+    kept, at = [], 0
+    for s, e, _ in spans:
+        if e > at:
+            kept += [text[at:s], " " * (e - max(s, at))]
+            at = e
+    text = "".join([*kept, text[at:]])
+    out = set()
     for m in TOKEN.finditer(text):
-        s, e = m.span()
-        if any(a < e and s < b for a, b, _ in spans):
-            continue
+        for v in VALUE.finditer(text, *m.span()):
+            s, e = v.span()
+            if e - s < CANDIDATE:
+                continue
+            used = set(v.group())
+            if used & {"+", "/"} and used & {"-", "_"}:
+                out.update(u.span() for x in UNMIXED for u in x.finditer(text, s, e) if u.end() - u.start() >= CANDIDATE)
+            else:
+                out.add((s, e))
+    return sorted(out)
+
+
+def band_of(length: int) -> int:
+    return sum(length >= x for x in BANDS) - 1
+
+
+def candidates(text: str, tested: list[tuple[int, int]]) -> list[tuple[int, int, int, int]]:
+    """(start, end, band, bin) of the tested pieces that pass for random; a bin's p-values are rounded up."""
+    out = []
+    for s, e in tested:
         log_p = battery(text[s:e])
         if log_p is not None:
-            out.append((s, e, sum(e - s >= x for x in BANDS) - 1, min(BINS - 1, int(-log_p / BIN_WIDTH))))
+            out.append((s, e, band_of(e - s), min(BINS - 1, int(-log_p / BIN_WIDTH))))
     return out
 
 
-
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, n_assign, n_access, n_hex, base (kind:start:end list), base_sha256, candidates and how many runs were tested, by band."""
+    """id_col, n_assign, n_access, n_hex, base (kind:start:end list), base_sha256, candidates and how many pieces were tested, by band."""
     from pyspark.sql.pandas.types import to_arrow_type
 
     def run(batches: Iterator[pa.RecordBatch]):
@@ -140,10 +170,11 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
                 spans = base_spans(text)
                 n = Counter(k for *_, k in spans)
                 base = [f"{k}:{s}:{e}" for s, e, k in spans]
-                found = candidates(text, spans)
+                tested = pieces(text, spans)
+                found = candidates(text, tested)
                 runs = [0] * len(BANDS)
-                for m in TOKEN.finditer(text):
-                    runs[sum(m.end() - m.start() >= x for x in BANDS) - 1] += 1
+                for s, e in tested:
+                    runs[band_of(e - s)] += 1
                 for c, v in zip(cols, (id_, n["assign"], n["access"], n["hex"], base, hashlib.sha256(",".join(base).encode()).hexdigest(), [dict(zip(("start", "end", "band", "bin"), x)) for x in found], runs)):
                     c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names)
@@ -158,7 +189,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
 
 
 def thresholds(scanned: DataFrame, rate: float = FDR) -> list[int]:
-    """For each band of lengths the smallest bin that is added (BINS: none): Benjamini-Hochberg over all runs tested in the corpus."""
+    """For each band of lengths the smallest bin that is added (BINS: none): Benjamini-Hochberg over all pieces tested in the corpus."""
     m = scanned.select(*[F.sum(F.col("runs")[i]).alias(f"m{i}") for i in range(len(BANDS))]).first()
     bins = scanned.select(F.explode("found").alias("f")).groupBy("f.band", "f.bin").count().collect()  # at most BANDS x BINS rows
     count = {(r[0], r[1]): r[2] for r in bins}
