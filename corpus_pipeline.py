@@ -13,7 +13,8 @@ from strandline.llm.exact_dedup import drop_exact
 from strandline.llm.jaccard import drop_near
 from strandline.llm.language import keep_identified
 from strandline.llm.mixing import take_mix
-from strandline.llm.packing import pack_documents
+from strandline.llm.packing import pack_tokens
+from strandline.llm.queries import _tokenizer
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +34,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack_documents(docs)
+    return pack_tokens(docs, _tokenizer())
 
 
 STAGES = [("language_id", language_id), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("mixing", mixing), ("packing", packing)]

@@ -1,15 +1,18 @@
 """Variable-capacity best-fit packing.
 
 Several sequence lengths are permitted and each has a cost. Documents are packed longest first; a piece goes to the
-open bin whose room it fills best. If none has room, a bin is opened of the length with the least cost for each word it
+open bin whose room it fills best. If none has room, a bin is opened of the length with the least cost for each token it
 is likely to hold: the piece and, of the rest of its room, what the pieces yet to come that fit can fill. When all is
 placed each bin is downsized to the smallest permitted length that holds its contents. Documents longer than the
 longest bin are cut into full bins and a rest, so nothing is lost.
 
+Sizes are what the size column says: op7 and the pipeline count tokens (op6), since lengths of sequences are in tokens. Without a
+size column they are words, which are fewer than tokens and for unspaced text far fewer.
+
 Spark deals the documents by a hash of the id into shards of about SHARD documents; a shard is packed in one Arrow call on
 (id, size) pairs. Bins are not shared by shards, which costs at most a few part-filled bins in each of them.
 
-Defined results: null text and texts without words have size 0 and a piece of size 0 in the shard's first bin; equal sizes go by id,
+Defined results: null text, texts without words and null sizes have size 0 and a piece of size 0 in the shard's first bin; equal sizes go by id,
 null first; an empty table gives an empty result; rows that repeat an id are packed as rows of their own.
 """
 
@@ -22,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, text_of
+from .common import WORD, text_of, written
+from .tokens import token_counts
 
 CAPACITIES = (512, 1024, 2048, 4096)
 SHARD = 20_000
@@ -39,7 +43,7 @@ def pack(sizes: Sequence[int], capacities: Sequence[int] = CAPACITIES) -> tuple[
     top = capacities[-1]
     volume = np.zeros(top + 1)
     np.add.at(volume, np.asarray(sizes, np.int64), np.asarray(sizes, float))
-    volume = volume.tolist()  # words yet to come, by the size of their piece
+    volume = volume.tolist()  # what is yet to come, by the size of their piece
     open_bins: list[list[int]] = [[] for _ in range(top + 1)]  # by room
     rooms = 0  # bit r is set if a bin has room r
     bins, offsets, used, caps = [], [], [], []
@@ -74,13 +78,17 @@ def pack(sizes: Sequence[int], capacities: Sequence[int] = CAPACITIES) -> tuple[
     return bins, offsets, [next(c for c in capacities if c >= u) for u in used]
 
 
-def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacities: Sequence[int] = CAPACITIES, shard: int = SHARD) -> DataFrame:
-    """One row for each piece: id_col, piece, size, doc_start (words of the document before it), bin_id, capacity, bin_start."""
+def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacities: Sequence[int] = CAPACITIES, shard: int = SHARD, size_col: str | None = None) -> DataFrame:
+    """One row for each piece: id_col, piece, size, doc_start (what of the document is before it), bin_id, capacity, bin_start.
+
+    With size_col the text isn't read.
+    """
     from pyspark.sql.pandas.types import to_arrow_type
 
     top = max(capacities)
     n = max(1, -(-df.count() // shard))
-    sized = df.select(F.col(id_col).alias("id"), F.regexp_count(text_of(text_col), F.lit(WORD)).cast("long").alias("size"))
+    size = F.coalesce(F.col(size_col), F.lit(0)) if size_col else F.regexp_count(text_of(text_col), F.lit(WORD))
+    sized = df.select(F.col(id_col).alias("id"), size.cast("long").alias("size"))
     # A repeated id would put all its rows in one shard, so the size takes part in the deal as well.
     dealt = sized.withColumn("shard", F.pmod(F.xxhash64("id", "size"), F.lit(n)))
     kind = to_arrow_type(sized.schema["id"].dataType)
@@ -95,3 +103,9 @@ def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     schema = f"id {sized.schema['id'].dataType.simpleString()}, piece long, size long, doc_start long, bin_id string, capacity long, bin_start long"
     return dealt.groupBy("shard").applyInArrow(run, schema).withColumnRenamed("id", id_col)
+
+
+def pack_tokens(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacities: Sequence[int] = CAPACITIES, shard: int = SHARD) -> DataFrame:
+    """pack_documents with sizes in tokens of the tokenizer file at path; they are counted once and written."""
+    counted = written(token_counts(df, path, id_col, text_col).select(id_col, "n_tokens"))
+    return pack_documents(counted, id_col, capacities=capacities, shard=shard, size_col="n_tokens")

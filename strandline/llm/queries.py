@@ -53,9 +53,9 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .packing import pack_documents
+    from .packing import pack_tokens
 
-    return pack_documents(_table(spark, sf_dir, "documents"))
+    return pack_tokens(_table(spark, sf_dir, "documents"), _tokenizer())
 
 
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
