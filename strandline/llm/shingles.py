@@ -8,7 +8,8 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0x100000001B3
 _space = np.zeros(256, bool)
 _space[[32, *range(9, 14)]] = True
-_lower = np.arange(256, dtype=np.uint64)
+_as_is = np.arange(1, 257, dtype=np.uint64)
+_lower = _as_is.copy()
 _lower[65:91] += 32
 _powers = np.ones(1, np.uint64)
 _inverse = np.ones(1, np.uint64)
@@ -30,14 +31,20 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers, _inverse
 
 
+def hashes_of(data: np.ndarray, start: np.ndarray, end: np.ndarray, value: np.ndarray = _as_is) -> np.ndarray:
+    """The hash of the bytes from each start to its end, each byte as its value."""
+    p, inv = powers(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(value[data] * p[: len(data)], out=sums[1:])
+    return mix((sums[end] - sums[start]) * inv[start] + (end - start).astype(np.uint64) * _ODD)
+
+
 def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """data: bytes of texts. The hash of each word, A-Z lower-cased, and where it starts."""
     space = _space[data]
     edge = np.diff(np.concatenate([[1], space, [1]]).astype(np.int8))
     start, end = np.nonzero(edge == -1)[0], np.nonzero(edge == 1)[0]
-    p, inv = powers(len(data) + 1)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((_lower[data] + np.uint64(1)) * p[: len(data)], dtype=np.uint64)])
-    return mix((sums[end] - sums[start]) * inv[start] + (end - start).astype(np.uint64) * _ODD), start
+    return hashes_of(data, start, end, _lower), start
 
 
 def shingle_sets(texts: list[bytes], words: int = 5) -> list[np.ndarray]:

@@ -7,11 +7,12 @@ width, and a list of exceptions (place and high part) for the rest. The payload
 start, so an id can be read without those before it. docs lists the documents that lie in the segment, whole or in part: id, place
 (rank in the shard), at (ids of the shard before it), n_tokens.
 
-The shards are ranges of doc_id in ascending order; their starts in the whole stream are sums over the few shards. Texts are shuffled
-once, by range, and are encoded where they are sorted, so ids never are.
+The shards are ranges of doc_id in ascending order, of about SHARD_BYTES of text each, so there is no most of them; their starts in
+the whole stream are sums over the shards. Texts are shuffled once, by range, and are encoded where they are sorted, so ids never are.
 
-Defined results: null text is empty and has the end id only; a null id comes first and has its row in the index as any
-other; rows that repeat an id follow each other; an empty table gives empty files.
+Defined results: ids are integers (others are cast, and null where they can't be); null text is empty and has the end id only; a null id
+comes first and has its row in the index as any other; rows that repeat an id follow each other by their texts' hashes; an empty
+table gives empty files; other columns are not read.
 """
 
 from __future__ import annotations
@@ -19,18 +20,19 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir, text_batches, text_of, written
+from .common import fit_broadcast, shared_dir, text_batches, text_of, written
 from .tokens import byte_batches, encoder, rows_of
 
 BLOCK, SEGMENT, CHOSEN = 128, 1 << 16, 90
 END = 0
-MOST_SHARDS = 4096
+SHARD_BYTES = 64 << 20
 SCHEMA = "shard int, segment long, first_id long, n_ids long, payload binary, docs array<struct<id:long,place:long,at:long,n_tokens:long>>"
 DOCS = pa.list_(pa.struct([(x, pa.int64()) for x in ("id", "place", "at", "n_tokens")]))
 
@@ -83,67 +85,80 @@ def unpack_ids(payload: bytes) -> np.ndarray:
     return out.reshape(-1)[:n]
 
 
-def _bytes_of(ids) -> bytes:
-    return np.asarray(ids, np.uint32).tobytes()
+def _with_end(ids: np.ndarray, count: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of some documents with the end id after each, and how many each has then."""
+    out, count = np.full(len(ids) + len(count), end, np.uint32), count + 1
+    own = np.ones(len(out), bool)
+    own[np.cumsum(count) - 1] = False
+    out[own] = ids
+    return out, count
 
 
-def write_tokens(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None, shard_bytes: int = 8 << 20, end: int = END) -> str:
+def write_tokens(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None, shard_bytes: int = SHARD_BYTES, end: int = END) -> str:
     """Writes the files of df's documents, encoded with the tokenizer file at path, and returns their folder."""
     spark = df.sparkSession
     text_batches(spark)
     folder = folder or f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
-    sizes = df.agg(F.sum(F.octet_length(F.col(text_col))), F.count(F.lit(1))).first()
-    shards = max(1, min((sizes[0] or 0) // shard_bytes, sizes[1], MOST_SHARDS))
-    ids = df.select(F.col(id_col).alias("id"))
-    # Ranges by quantiles of the ids alone, so that the texts are read once.
-    bounds = sorted(set(ids.where("id is not null").approxQuantile("id", [k / shards for k in range(1, shards)], 1 / (8 * shards)))) if shards > 1 else []
-    edges = F.array(*[F.lit(float(b)) for b in bounds]).cast("array<double>")
-    shard = F.coalesce(F.size(F.filter(edges, lambda b: b < F.col("id"))), F.lit(0))
-    source = df.select(F.col(id_col).alias("id"), F.encode(text_of(text_col), "UTF-8").alias("text"))
-    dealt = source.withColumn("shard", shard).repartition(min(len(bounds) + 1, 4096), "shard").sortWithinPartitions("shard", F.col("id").asc_nulls_first(), F.xxhash64("text"))
+    total = df.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
+    # Small tables are dealt over a few times the cores, as long as a shard has a hundredth of SHARD_BYTES.
+    shards = max(1, total // shard_bytes, min(4 * spark.sparkContext.defaultParallelism, 100 * total // shard_bytes))
+    source = df.select(F.col(id_col).cast("long").alias("id"), F.encode(text_of(text_col), "UTF-8").alias("text"))
+    # Rows that repeat an id, or have none, are in the order of their texts' hashes, so that they need not be in one shard.
+    order = [F.col("id").asc_nulls_first(), F.xxhash64("text").asc()]
+    dealt = source.repartitionByRange(shards, *order).withColumn("shard", F.spark_partition_id()).sortWithinPartitions(*order)
 
     def encode(batches: Iterator[pa.RecordBatch]):
-        enc = encoder(path, _bytes_of)
-        stop = np.array([end], np.uint32).tobytes()
-        now, place, before, segment, held, docs, total = None, 0, 0, 0, bytearray(), [], 0
+        enc = encoder(path)
         kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), DOCS]
-
-        def flush(least: int):
-            nonlocal before, segment, docs
-            while held and len(held) >= 4 * least:
-                x = np.frombuffer(bytes(held[: 4 * SEGMENT]), np.uint32)
-                del held[: 4 * SEGMENT]
-                before += len(x)
-                here = [d for d in docs if d[2] < before]
-                docs = [d for d in docs if d[2] + d[3] > before]
-                rows.append((now, segment, before - len(x), len(x), pack_ids(x), [dict(zip(("id", "place", "at", "n_tokens"), d)) for d in here]))
-                segment += 1
-
-        def batch():
+        held, size, first, segment, total, place, shard = [], 0, 0, 0, 0, 0, 0
+        docs = [np.zeros(0, np.int64)] * 3  # place, at and n_tokens of the documents that are not all written; ids_left: their ids
+        ids_left: list = []
+
+        def segments(least: int):
+            """Rows of the full segments (least: SEGMENT) or of all that is held (1)."""
+            nonlocal held, size, first, segment, docs, ids_left
+            x, k = np.concatenate(held) if held else np.zeros(0, np.uint32), 0
+            place_, at, n = docs
+            while size - k >= least:
+                part = x[k : k + SEGMENT]
+                lo, hi = np.searchsorted(at + n, first, side="right"), np.searchsorted(at, first + len(part))
+                here = [dict(zip(("id", "place", "at", "n_tokens"), d)) for d in zip(ids_left[lo:hi], place_[lo:hi].tolist(), at[lo:hi].tolist(), n[lo:hi].tolist())]
+                yield shard, segment, first, len(part), pack_ids(part), here
+                segment, first, k = segment + 1, first + len(part), k + len(part)
+            held, size = [x[k:]], size - k
+            lo = np.searchsorted(at + n, first, side="right")
+            docs, ids_left = [c[lo:] for c in docs], ids_left[lo:]
+
+        def batch(rows):
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["shard", "segment", "first_id", "n_ids", "payload", "docs"])
 
-        rows: list[tuple] = []
         for part in byte_batches(rows_of(batches), 1):
-            for (id_, _, s), pieces in zip(part, enc.of([r[1].decode() for r in part])):
-                if s != now:
-                    flush(1)
-                    now, place, before, segment, total = s, 0, 0, 0, 0
-                x = b"".join(pieces) + stop
-                held += x
-                docs.append((id_, place, total, len(x) // 4))
-                place, total = place + 1, total + len(x) // 4
-                flush(SEGMENT)
-            if rows:
-                yield batch()
-                rows = []
-        flush(1)
-        if rows:
-            yield batch()
+            shard = part[0][2]
+            ids, n = _with_end(*enc.of([r[1] for r in part]), end)
+            held.append(ids)
+            size += len(ids)
+            docs = [np.concatenate(c) for c in zip(docs, (np.arange(place, place + len(n)), total + np.cumsum(n) - n, n))]
+            ids_left += [r[0] for r in part]
+            place, total = place + len(n), total + len(ids)
+            if rows := list(segments(SEGMENT)):
+                yield batch(rows)
+        if rows := list(segments(1)):
+            yield batch(rows)
 
     dealt.mapInArrow(encode, SCHEMA).write.option("compression", "none").parquet(folder)
     return folder
 
 
+def shard_starts(shards: DataFrame, many: int = 1000) -> DataFrame:
+    """(shard, n) -> shard, before: the sum of the n of smaller shards, by groups of so many shards and then within each."""
+    sums = shards.withColumn("group", F.floor(F.col("shard") / many))
+    groups = sums.groupBy("group").agg(F.sum("n").alias("all"))
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    groups = groups.select("group", F.coalesce(F.sum("all").over(earlier(Window.orderBy("group"))), F.lit(0)).alias("base"))
+    own = F.coalesce(F.sum("n").over(earlier(Window.partitionBy("group").orderBy("shard"))), F.lit(0))
+    return sums.withColumn("own", own).join(groups, "group").select("shard", (F.col("base") + F.col("own")).alias("before"))
+
+
 def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
     """shard, segment, first_id, ids of all segments: the stream in the order of (shard, segment)."""
     def run(batches):
@@ -160,8 +175,7 @@ def read_index(spark: SparkSession, folder: str, id_col: str = "doc_id") -> Data
     A segment's documents are cut out of it where it is decoded. The checks of the parts of a document in several segments are joined in order.
     """
     files = spark.read.schema(SCHEMA).parquet(folder)
-    shards = files.groupBy("shard").agg(F.sum("n_ids").alias("n"))  # at most MOST_SHARDS
-    before = shards.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("shard", "before")
+    before = written(shard_starts(files.groupBy("shard").agg(F.sum("n_ids").alias("n"))))
 
     def run(batches):
         names = ["shard", "place", "id", "at", "n_tokens", "segment", "n", "crc"]
@@ -175,7 +189,7 @@ def read_index(spark: SparkSession, folder: str, id_col: str = "doc_id") -> Data
 
     # Written, so that the files are decoded once: few numbers for each document.
     checked = written(files.select("shard", "segment", "first_id", "payload", "docs").mapInArrow(run, "shard int, place long, id long, at long, n_tokens long, segment long, n long, crc long"))
-    checked = checked.join(F.broadcast(before), "shard").withColumn("start", F.col("before") + F.col("at"))
+    checked = checked.join(fit_broadcast(before), "shard").withColumn("start", F.col("before") + F.col("at"))
     whole = checked.where("n = n_tokens").select(F.col("id").alias(id_col), "start", "n_tokens", F.col("crc").alias("ids_crc32"))
     cut = checked.where("n < n_tokens").groupBy("shard", "place").agg(F.first("id").alias("id"), F.first("start").alias("start"), F.first("n_tokens").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("segment", "n", "crc"))).alias("parts"))
 
@@ -187,24 +201,31 @@ def read_index(spark: SparkSession, folder: str, id_col: str = "doc_id") -> Data
     return whole.unionByName(cut.select("id", "start", "n_tokens", "parts").mapInArrow(join, f"{id_col} long, start long, n_tokens long, ids_crc32 long"))
 
 
-def crc_of(parts: list[tuple[int, int]]) -> int:
-    """The crc32 of strings joined, from the length and crc32 of each: a crc is linear, so zeros are appended to the one so far by squaring a matrix over bits."""
-    def times(m, v):
-        out, k = 0, 0
-        while v:
-            if v & 1:
-                out ^= m[k]
-            v, k = v >> 1, k + 1
-        return out
+@cache
+def _zeros(k: int) -> list[int]:
+    """What 2**k zero bytes after it make of each bit of a crc32; -3 is one bit."""
+    return [0xEDB88320] + [1 << j for j in range(31)] if k == -3 else _twice(_zeros(k - 1))
+
+
+def _times(m: list[int], v: int) -> int:
+    out = 0
+    for x in m:
+        if v & 1:
+            out ^= x
+        v >>= 1
+    return out
+
 
+def _twice(m: list[int]) -> list[int]:
+    return [_times(m, x) for x in m]
+
+
+def crc_of(parts: list[tuple[int, int]]) -> int:
+    """The crc32 of strings joined, from the length and crc32 of each: a crc is linear over bits, so zeros are appended to the one so far by tables for powers of two."""
     out = 0
     for n, crc in parts:
-        step = [0xEDB88320] + [1 << k for k in range(31)]  # one zero bit appended
-        bits = n * 8
-        while bits:
-            if bits & 1:
-                out = times(step, out)
-            step = [times(step, v) for v in step]
-            bits >>= 1
+        for k in range(n.bit_length()):
+            if n >> k & 1:
+                out = _times(_zeros(k), out)
         out ^= crc
     return out
