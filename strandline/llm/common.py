@@ -16,10 +16,12 @@ BROADCAST_ROWS = 20_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder from spark.checkpoint.dir; one of this machine only if it is unset."""
+    """The cluster's shared folder from spark.checkpoint.dir. Where that is unset, one of this machine under a local master, and an error on a cluster."""
     conf = spark.sparkContext.getConf()
     if root := conf.get("spark.checkpoint.dir", None) or getattr(spark, "_strandline_shared", None):
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is to name a folder that the driver and all executors share")
     spark._strandline_shared = "file://" + tempfile.mkdtemp(prefix="strandline-")
     return spark._strandline_shared
 
@@ -32,11 +34,17 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def text_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Arrow batches of at most so many rows from now on in this session, unless fewer are set: rows here are whole texts."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+def text_batches(spark: SparkSession, rows: int = 500, size: str = "16m") -> None:
+    """Arrow batches of at most so many rows and about that size from now on in this session, unless less is set: rows here are whole texts.
+
+    Plans are made when they run, after this returns, so it can't be put back; other Arrow functions only get smaller batches.
+    """
+    key, most = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
         spark.conf.set(key, rows)
+    if not getattr(spark, "_strandline_bytes", False):
+        spark.conf.set(most, size)
+        spark._strandline_bytes = True
 
 
 def text_of(text: str | Column) -> Column:
@@ -59,7 +67,7 @@ def join_skewed(left: DataFrame, right: DataFrame, keys: list[str], weight: str,
     return left.join(hot, keys).unionByName(left.join(hot, keys, "left_anti").join(cold, keys, "left"))
 
 
-def maybe_in(left: DataFrame, ids: DataFrame, id_col: str = "id", blocks: int = 256) -> DataFrame:
+def maybe_in(left: DataFrame, ids: DataFrame, id_col: str = "id", blocks: int = 1024) -> DataFrame:
     """left with a column `maybe`: false only for rows whose id is not in ids.
 
     A bitmap of hashed ids, of at most `blocks` rows of 4 KB whatever the number of ids, is broadcast, so left is not

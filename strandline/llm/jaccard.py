@@ -3,20 +3,23 @@
 Two sets of sizes s <= t with a Jaccard similarity of at least J share o = ceil(J / (1 + J) * (s + t)) elements and t <= s / J.
 
 1. Copies. Documents with equal sets are one class (tree merge of set digests); only its smallest id goes on.
-2. Light: sets of at most x elements enumerate, for each size t they can link with, their subsets of o elements. Two sets
-   share a key (s, t, subset) if and only if they link, so every key is a star around its smallest id.
+2. Light: sets of at most x elements enumerate, for each size t they can link with, their subsets of o elements. A set of size
+   s and one of size t share a key (s, t, subset) if and only if they link; two of size t may share it without. So a key
+   is a star around the smallest id of its sets of size s, and nothing if it has none.
 3. Heavy: larger sets, and smaller ones within their reach, are put into inverted lists of their prefixes: the
    t - ceil(J * t) + 1 elements that come first in an order in which common elements are last. Two sets that link share
    one. Which elements are common is counted over all documents; a table of bounded size holds the commonest.
 4. The boundary x has the least cost, counted from all sizes: subsets below it, list entries above it.
 
-Lists of common elements are first compared with pivots, the members with the fewest uncommon elements, in ROUNDS of
-verification; members that reach one component need not be compared with each other, as only components are asked for. The
-pairs that are then left in different components are all compared, so no component loses a link.
+Lists of at most LONG members are paired. Longer ones, and those of common elements, are first compared with pivots, the members with
+the fewest uncommon elements, in ROUNDS of verification; members that reach one component need not be compared with each other, as only
+components are asked for. The pairs that are then left in different components are all compared, in pairs of blocks of the
+list, so no component loses a link and no list is one task. New links join components, not documents.
 
 Verification takes whole sets of the documents in question and counts what they share.
 Defined results: null and empty texts have the empty set and link with nothing; rows that repeat an id have one set by the first of
-their digests and the smallest component; a null id links with nothing.
+their digests and the smallest component; a null id links with nothing; an empty table gives an empty result; other
+columns are not read by the join and stay as they are in drop_near.
 """
 
 from __future__ import annotations
@@ -27,11 +30,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import connected_components, join_skewed, maybe_in, text_batches, text_of, written
+from .common import connected_components, fit_broadcast, join_skewed, maybe_in, text_batches, text_of, written
 from .exact_dedup import tree_merge
 from .shingles import shingle_sets
 from .tokens import byte_batches, rows_of
@@ -39,8 +42,8 @@ from .tokens import byte_batches, rows_of
 WORDS, PERCENT = 5, 80
 #: Documents an element must be in to be common, and elements the table of common ones holds.
 COMMON, MOST_COMMON = 8, 1_000_000
-#: Rounds of comparing the lists of common elements with pivots before what is left is paired.
-ROUNDS = 2
+#: Rounds of comparing long lists with pivots before what is left is paired; members of a list that is paired at once, and of a block of one that is not.
+ROUNDS, LONG, BLOCK = 2, 64, 512
 LARGEST_LIGHT = 24
 
 
@@ -78,11 +81,11 @@ def _digest(values: np.ndarray) -> bytes:
     return hashlib.blake2b(values.tobytes(), digest_size=16).digest()
 
 
-def subset_keys(values: np.ndarray, most: int, percent: int = PERCENT) -> list[int]:
-    """Hashes of (s, t, subset) for every size at most `most` that the set can link with."""
+def subset_keys(values: np.ndarray, most: int, percent: int = PERCENT) -> list[bytes]:
+    """Digests of (s, t, subset) for every size at most `most` that the set can link with; the last byte tells whether the set has size s."""
     n, got = len(values), values.tolist()
     pairs = [(n, t) for t in reach(n, percent) if t <= most] + [(s, n) for s in range(1, n) if n in reach(s, percent)]
-    return sorted({int.from_bytes(hashlib.blake2b(repr((s, t, c)).encode(), digest_size=8).digest(), "little", signed=True) for s, t in pairs for c in combinations(got, overlap(s, t, percent))})
+    return [hashlib.blake2b(repr((s, t, c)).encode(), digest_size=16).digest() + bytes([n == s]) for s, t in pairs for c in combinations(got, overlap(s, t, percent))]
 
 
 def _sets(batches, words: int):
@@ -188,10 +191,10 @@ def class_sets(source: DataFrame, words: int, hot: np.ndarray, x: int, percent:
                 cold, warm = s[~is_hot], s[is_hot]
                 rows.append((len(s), _digest(s), len(cold), subset_keys(s, x, percent) if len(s) <= x else [], cold[:k].view(np.int64), warm[: max(0, k - len(cold))].view(np.int64)))
             cols = [[r[0] for r in part], *zip(*rows)]
-            kinds = (kind, pa.int32(), pa.binary(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            kinds = (kind, pa.int32(), pa.binary(), pa.int32(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["id", "n", "digest", "rare", "keys", "prefix", "common"])
 
-    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, n int, digest binary, rare int, keys array<long>, prefix array<long>, common array<long>")
+    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, n int, digest binary, rare int, keys array<binary>, prefix array<long>, common array<long>")
 
 
 def whole_sets(source: DataFrame, ids: DataFrame, words: int) -> DataFrame:
@@ -207,18 +210,21 @@ def whole_sets(source: DataFrame, ids: DataFrame, words: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) of ids whose sets link."""
+    """The rows of pairs (u, v, and more) whose sets link."""
     both = pairs.join(sets.select(F.col("id").alias("u"), F.col("e").alias("a")), "u").join(sets.select(F.col("id").alias("v"), F.col("e").alias("b")), "v")
     shared = F.size(F.array_intersect("a", "b"))
-    return both.where(100 * shared >= percent * (F.size("a") + F.size("b") - shared)).select("u", "v")
+    return both.where(100 * shared >= percent * (F.size("a") + F.size("b") - shared)).select(*pairs.columns)
 
 
-def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """One row for each row of df: id_col, n_shingles, component_id."""
+def jaccard_components(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT,
+    light: int | None = None, least_common: int = COMMON, most_common: int = MOST_COMMON, rounds: int = ROUNDS, long: int = LONG, block: int = BLOCK,
+) -> DataFrame:
+    """One row for each row of df: id_col, n_shingles, component_id. `light` sets the boundary in place of its cost; like what follows it, it changes no result."""
     text_batches(df.sparkSession)
     source = _source(df, id_col, text_col)
-    hot, sizes = common_elements(source, words)
-    x = boundary(sizes, percent)
+    hot, sizes = common_elements(source, words, least_common, most_common)
+    x = boundary(sizes, percent) if light is None else light
     own = written(class_sets(source, words, hot, x, percent).withColumn("run", F.spark_partition_id()))
 
     # 1. Copies: the smallest id of each digest stands for its class.
@@ -229,38 +235,47 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     sifted = maybe_in(some, copies)
     reps = sifted.where("not maybe").unionByName(sifted.where("maybe").join(copies, "id", "left_anti"))
 
-    # 2. Light: every key is a star around its smallest id.
+    # 2. Light: a key is a star around the smallest id of its sets of the smaller size.
     keys = reps.where(F.size("keys") > 0).select("id", F.explode("keys").alias("key"))
-    stars = keys.groupBy("key").agg(F.min("id").alias("v"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    light = keys.join(stars, "key").where("id <> v").select(F.col("id").alias("u"), "v")
-
-    # 3. Heavy: pairs of the uncommon elements' lists, which are short.
-    pairs = written(_paired(reps.where(F.size("prefix") > 0).select("id", "n", F.posexplode("prefix").alias("pos", "e")), percent).distinct())
-    long = reps.where(F.size("common") > 0).select("id", "n", "rare", F.posexplode("common").alias("pos", "e")).withColumn("pos", F.col("pos") + F.col("rare"))
-    long = written(long.join(long.groupBy("e").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("e"), "e"))
-    sets = whole_sets(source, pairs.select(F.explode(F.array("u", "v")).alias("id")).unionByName(long.select("id")), words)
-    edges = written(light.unionByName(verified(pairs, sets, percent)))
-    comps = connected_components(edges)
-    if long.take(1):
-        for round_ in range(ROUNDS):
-            member = _placed(long, comps)
-            # A list's pivot is its member with the fewest uncommon elements; in later rounds, that of those which no pivot has reached.
-            pivot = member.groupBy("e").agg(F.min(F.struct("rare", "id", "n", "c")).alias("p"))
-            if round_:
-                rest = member.join(pivot, "e").where(F.col("c") != F.col("p.c")).drop("p")
-                pivot = rest.groupBy("e").agg(F.min(F.struct("rare", "id", "n", "c")).alias("p"))
-            near = member.join(pivot, "e").where((F.col("c") != F.col("p.c")) & (100 * F.least("n", F.col("p.n")) >= percent * F.greatest("n", F.col("p.n"))))
-            pairs = written(near.select(F.greatest("id", F.col("p.id")).alias("u"), F.least("id", F.col("p.id")).alias("v")).distinct())
-            if not pairs.take(1):
-                break
-            edges = written(edges.unionByName(verified(pairs, sets, percent)))
-            comps = connected_components(edges)
-        member = _placed(long, comps)
-        torn = member.groupBy("e").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("e")
-        pairs = written(_paired(member.join(torn, "e").select("id", "n", "pos", "e", "c"), percent).distinct())
+    keys = keys.select("id", F.expr("substring(key, 1, 16)").alias("key"), (F.expr("substring(key, 17, 1)") == F.lit(b"\1")).alias("small"))
+    stars = keys.groupBy("key").agg(F.min(F.when(F.col("small"), F.col("id"))).alias("v"), F.count(F.lit(1)).alias("m")).where("m > 1 and v is not null")
+    light_links = keys.join(stars, "key").where("id <> v").select(F.col("id").alias("u"), "v")
+
+    # 3. Heavy: pairs of the short lists; the long ones are kept.
+    lists = reps.where(F.size("prefix") > 0).select("id", "n", "rare", F.posexplode("prefix").alias("pos", "e"))
+    lists = lists.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("e"))).where("m > 1")
+    pairs = written(_paired(lists.where(F.col("m") <= long).select("id", "n", "pos", "e"), percent).distinct())
+    common = reps.where(F.size("common") > 0).select("id", "n", "rare", F.posexplode("common").alias("pos", "e")).withColumn("pos", F.col("pos") + F.col("rare"))
+    met = written(common.groupBy("e").agg(F.count(F.lit(1)).alias("m")).where("m > 1"))
+    total = met.agg(F.sum("m")).first()[0] or 0
+    common = join_skewed(common, met, ["e"], "m", total).where("m is not null")
+    longer = lists.where(F.col("m") > long)
+    members = written(common.unionByName(longer) if total else longer)
+    total = members.count()
+
+    sets = whole_sets(source, pairs.select(F.explode(F.array("u", "v")).alias("id")).unionByName(members.select("id")), words)
+    comps = connected_components(light_links.unionByName(verified(pairs, sets, percent)))
+    for round_ in range(rounds if total else 0):
+        member = _placed(members, comps)
+        # A list's pivot is its member with the fewest uncommon elements; in later rounds, that of those which no pivot has reached.
+        best = F.min(F.struct("rare", "id", "n", "c")).alias("p")
+        pivot = member.groupBy("e", "m").agg(best)
+        if round_:
+            rest = join_skewed(member.drop("m"), pivot, ["e"], "m", total).where(F.col("c") != F.col("p.c")).drop("p")
+            pivot = rest.groupBy("e", "m").agg(best)
+        near = join_skewed(member.drop("m"), pivot, ["e"], "m", total)
+        near = near.where((F.col("c") != F.col("p.c")) & (100 * F.least("n", F.col("p.n")) >= percent * F.greatest("n", F.col("p.n"))))
+        pairs = written(near.select(F.col("id").alias("u"), F.col("p.id").alias("v"), F.col("c").alias("cu"), F.col("p.c").alias("cv")).distinct())
+        if not pairs.take(1):
+            break
+        comps = joined(comps, verified(pairs, sets, percent))
+    if total:
+        member = _placed(members, comps)
+        torn = member.groupBy("e", "m").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("e", "m")
+        member = join_skewed(member.drop("m"), torn, ["e"], "m", total).where("m is not null")
+        pairs = written(_paired(_blocks(member.select("id", "n", "pos", "e", "c", "m"), block), percent).distinct())
         if pairs.take(1):
-            edges = written(edges.unionByName(verified(pairs, sets, percent)))
-            comps = connected_components(edges)
+            comps = joined(comps, verified(pairs, sets, percent))
 
     # A component's smallest id may stand for a class, whose smallest id it is, so it is the smallest of all its members.
     sized = placed.groupBy("rep").agg(F.count(F.lit(1)).alias("size"))
@@ -273,16 +288,36 @@ def _placed(lists: DataFrame, comps: DataFrame) -> DataFrame:
     return written(lists.join(comps, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component"))
 
 
+def joined(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """comps(id, component) after the links between components cu and cv."""
+    more = connected_components(links.select(F.col("cu").alias("u"), F.col("cv").alias("v")))
+    to = fit_broadcast(more.select(F.col("id").alias("component"), F.col("component").alias("to")))
+    moved = comps.join(to, "component", "left").select("id", F.coalesce("to", "component").alias("component"))
+    return written(moved.unionByName(more.join(comps.select("id"), "id", "left_anti").select("id", "component")))
+
+
+def _blocks(lists: DataFrame, block: int) -> DataFrame:
+    """Each row of a list of m members once for each pair (i, j) of blocks it takes part in."""
+    blocks = F.ceil(F.col("m") / block).cast("int")
+    b = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    dealt = lists.withColumn("blocks", blocks).withColumn("b", b).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.withColumn("i", F.least("b", "o")).withColumn("j", F.greatest("b", "o")).drop("m", "blocks", "b", "o")
+
+
 def _paired(lists: DataFrame, percent: int) -> DataFrame:
-    """(u, v) of the members of each list that can link: by their sizes, by what follows the element in both, and, where told, by being in different components."""
+    """(u, v) of the members of each list that can link: by their sizes, by what follows the element in both, and, where told, by being in different components (cu, cv)."""
     a = lists.select(*[F.col(c).alias(f"a_{c}") for c in lists.columns])
     b = lists.select(*[F.col(c).alias(f"b_{c}") for c in lists.columns])
     n, m = F.col("a_n"), F.col("b_n")
     left = 1 + F.least(n - F.col("a_pos") - 1, m - F.col("b_pos") - 1)
     ok = (F.col("a_id") > F.col("b_id")) & (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * left >= percent * (n + m))
+    for key in [k for k in ("e", "i", "j") if k in lists.columns]:
+        ok &= F.col(f"a_{key}") == F.col(f"b_{key}")
+    out = [F.col("a_id").alias("u"), F.col("b_id").alias("v")]
     if "c" in lists.columns:
         ok &= F.col("a_c") != F.col("b_c")
-    return a.join(b, (F.col("a_e") == F.col("b_e")) & ok).select(F.col("a_id").alias("u"), F.col("b_id").alias("v"))
+        out += [F.col("a_c").alias("cu"), F.col("b_c").alias("cv")]
+    return a.join(b, ok).select(*out)
 
 
 def drop_near(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
