@@ -56,6 +56,6 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_exact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df without the rows that exact_groups drops; all columns stay. Ids are taken to be unique."""
+    """df without the rows that exact_groups drops; all columns stay, whatever their names. Ids are taken to be unique; rows with a null id stay."""
     gone = exact_groups(df, id_col, text_col).where("not kept").select(id_col)
     return df.join(gone, id_col, "left_anti")

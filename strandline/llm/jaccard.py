@@ -321,6 +321,6 @@ def _paired(lists: DataFrame, percent: int) -> DataFrame:
 
 
 def drop_near(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """df with one row of each component, the smallest id; all columns stay. Ids are taken to be unique."""
+    """df with one row of each component, the smallest id; all columns stay, whatever their names. Ids are taken to be unique; rows with a null id stay."""
     gone = jaccard_components(df, id_col, text_col, words, percent).where(F.col(id_col) != F.col("component_id")).select(id_col)
     return df.join(gone, id_col, "left_anti")

@@ -94,6 +94,9 @@ def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_
 
 
 def take_mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: str = "mix") -> DataFrame:
-    """df as the mix takes it: each row as often as it has copies. Ids are taken to be unique."""
-    copies = mix(df, id_col, source_col, text_col, seed).where("copies > 0").select(id_col, "copies")
-    return df.join(copies, id_col).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).drop("copies", "_copy")
+    """df as the mix takes it: each row as often as it has copies. Ids are taken to be unique and not null; all columns stay, whatever their names."""
+    wanted = mix(df, id_col, source_col, text_col, seed).where("copies > 0")
+    wanted = wanted.select(F.col(id_col).alias("_mix_id"), F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("_mix_copy"))
+    # Joined on a struct of df's row, so that no name of df's columns is looked up next to the mix's.
+    rows = df.select(F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("_mix_row"))
+    return rows.join(wanted, F.col(f"_mix_row.`{id_col}`") == F.col("_mix_id")).select("_mix_row.*")
