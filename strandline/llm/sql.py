@@ -44,16 +44,22 @@ s3 as (
     / (sum(weight) over () - coalesce(sum(weight) over (order by room, source nulls last rows between unbounded preceding and 1 preceding), 0)) as level
   from s2),
 s4 as (select source, source_size, coalesce(least(most, weight * (select arg_min(level, n) from s3 where room >= level)), most) as target from s3),
-s5 as (
-  select *, case when source_size > 0 then floor(target / source_size)::bigint else 0 end as certain,
-    case when source_size > 0 then target / source_size - floor(target / source_size) else 0 end as p from s4),
-s6 as (select *, target - certain * source_size as residual from s5),
+k0 as (select source, length(bin(size)) as class, sum(size)::bigint as words from d where size > 0 group by source, class),
+k1 as (
+  select k0.*, s4.target, class + 4 as odds,
+    (target - coalesce(sum(words) over (partition by k0.source order by class desc rows between unbounded preceding and 1 preceding), 0) * 3.0::double)
+    / (sum((class + 4) * words) over (partition by k0.source order by class desc rows between current row and unbounded following))::double as level
+  from k0 join s4 on k0.source is not distinct from s4.source),
+k2 as (
+  select k1.*, least(3.0::double, coalesce(arg_max(case when level * odds <= 3.0::double then level end, case when level * odds <= 3.0::double then class end) over (partition by source), 3.0::double) * odds) as wanted from k1),
+k3 as (select *, floor(wanted)::bigint as certain, wanted - floor(wanted) as p from k2),
+s6 as (select *, target - sum(certain * words) over (partition by source) as residual from k3),
+r0 as (
+  select d.doc_id, d.size, s4.source, s4.source_size, s4.target, coalesce(s.certain, 0) as certain, coalesce(s.p, 0) as p, s.residual, (bits + 0.5::double) / 281474976710656.0::double as u
+  from d join s4 on d.source is not distinct from s4.source left join s6 s on d.source is not distinct from s.source and length(bin(d.size)) = s.class and d.size > 0),
+r1 as (select *, case when p > 0 then u * (1 - p) / (u * (1 - p) + (1 - u) * p) end as rank from r0),
 r as (
-  select d.doc_id, d.size, s.source, s.source_size, s.target, s.certain, s.p, s.residual,
-    coalesce(sum(d.size) over (partition by d.source
-      order by ((bits + 0.5::double) / 281474976710656.0::double) / (1 - (bits + 0.5::double) / 281474976710656.0::double) / (case when p > 0 and p < 1 then p / (1 - p) end), d.doc_id
-      rows between unbounded preceding and 1 preceding), 0) as before
-  from d join s6 s on d.source is not distinct from s.source),
+  select *, coalesce(sum(case when p > 0 then size else 0 end) over (partition by source order by rank nulls last, doc_id rows between unbounded preceding and 1 preceding), 0) as before from r1),
 h as (select *, before + size / 2.0::double <= residual as head from r),
 g as (select source, any_value(residual) - sum(case when head then size else 0 end) as gap from h where p > 0 group by source),
 x as (
