@@ -76,27 +76,60 @@ def refractory(bars: DataFrame, signal: Column, distance: int) -> DataFrame:
     return b.withColumn("_q", quiet).where("_s = 1 and _q").drop("_s", "_q")
 
 
-def non_overlapping(events: DataFrame, start: str, end: str, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
+def non_overlapping(events: DataFrame, start: str, end: str, keys: tuple[str, ...] = ("symbol",), block: int = 4096) -> DataFrame:
     """Greedy: keep the first event, drop those that start before it ends, and so on. An event that starts when one ends stays.
 
-    The kept events are the orbit of `next`: the first event whose start is not before the end. Pointers are doubled, so the
-    number of joins is the logarithm of the longest chain, which is checked after each doubling. start and end are numbers or
-    times; starts are unique for each key.
+    The kept events are the orbit of `next`: the first event whose start is not before the end. Events are dealt into blocks of
+    `block` in the order of their starts. In each block a grouped function tells for every event where a walk from it leaves
+    the block; the walk from the first event over blocks doubles these pointers, so its number of joins is the logarithm of
+    the number of blocks; then each block that is entered is walked once. start and end are numbers or times that aren't null; starts
+    are unique for each key.
     """
-    last = Window.partitionBy(*keys).orderBy("_at", "_tag").rowsBetween(0, Window.unboundedFollowing)
+    ks = list(keys)
     e = events.withColumn("_s", F.col(start)).withColumn("_e", F.col(end))
     # next: the first start at or after the end, by a sorted union, in one shuffle.
-    ends = e.select(*keys, F.col("_s").alias("_from"), F.col("_e").alias("_at"), F.lit(0).alias("_tag"), F.lit(None).cast(e.schema["_s"].dataType).alias("_start"))
-    starts = e.select(*keys, F.lit(None).cast(e.schema["_s"].dataType).alias("_from"), F.col("_s").alias("_at"), F.lit(1).alias("_tag"), F.col("_s").alias("_start"))
-    nxt = ends.unionByName(starts).withColumn("_next", F.first("_start", ignorenulls=True).over(last)).where("_tag = 0").select(*keys, "_from", "_next")
-    first = e.groupBy(*keys).agg(F.min("_s").alias("_from"))
-    kept, jump = cut(first), cut(nxt)
-    while True:
-        more = kept.join(jump, [*keys, "_from"]).where("_next is not null").select(*keys, F.col("_next").alias("_from"))
-        grown = cut(kept.unionByName(more).distinct())
-        if grown.count() == kept.count():
-            break
-        kept = grown
-        hop = jump.select(*keys, F.col("_from").alias("_next"), F.col("_next").alias("_far"))
-        jump = cut(jump.join(hop, [*keys, "_next"]).select(*keys, "_from", F.col("_far").alias("_next")).where("_next is not null"))
-    return e.join(kept.withColumnRenamed("_from", "_s"), [*keys, "_s"], "left_semi").drop("_s", "_e")
+    last = Window.partitionBy(*ks).orderBy("_at", "_tag").rowsBetween(0, Window.unboundedFollowing)
+    none = F.lit(None).cast(e.schema["_s"].dataType)
+    ends = e.select(*ks, F.col("_s").alias("_from"), F.col("_e").alias("_at"), F.lit(0).alias("_tag"), none.alias("_start"))
+    starts = e.select(*ks, none.alias("_from"), F.col("_s").alias("_at"), F.lit(1).alias("_tag"), F.col("_s").alias("_start"))
+    nxt = ends.unionByName(starts).withColumn("_next", F.first("_start", ignorenulls=True).over(last)).where("_tag = 0")
+    rank = F.row_number().over(Window.partitionBy(*ks).orderBy("_from")) - 1
+    nxt = cut(nxt.select(*ks, "_from", F.coalesce("_next", "_from").alias("_to"), F.col("_next").isNotNull().alias("_more"), F.floor(rank / block).alias("_block"), (rank == 0).alias("_in")))
+    types = {f.name: f.dataType.simpleString() for f in nxt.schema}
+    by = ", ".join(f"{k} {types[k]}" for k in ks)
+
+    def steps(pdf: pd.DataFrame):
+        pdf = pdf.sort_values("_from", ignore_index=True)
+        at = pdf["_from"].searchsorted(pdf["_to"])
+        inside = pdf["_more"] & (pdf["_to"] <= pdf["_from"].iloc[-1])
+        return pdf, at.tolist(), inside.tolist()
+
+    def leave(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, at, inside = steps(pdf)
+        out = list(range(len(at)))
+        for i in range(len(at) - 1, -1, -1):
+            if inside[i]:
+                out[i] = out[at[i]]
+        final = pdf.iloc[out].reset_index(drop=True)
+        return pdf[[*ks, "_from"]].assign(_to=final["_to"], _more=final["_more"])
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, at, inside = steps(pdf)
+        kept, i = [], int(pdf["_in"].to_numpy().argmax())
+        while pdf["_in"].any():
+            kept.append(i)
+            if not inside[i]:
+                break
+            i = at[i]
+        return pdf.iloc[kept][[*ks, "_from"]].rename(columns={"_from": "_s"})
+
+    if nxt.where("_block > 0").take(1):
+        jump = cut(nxt.groupBy(*ks, "_block").applyInPandas(leave, f"{by}, _from {types['_from']}, _to {types['_from']}, _more boolean").where("_more"))
+        entered = cut(nxt.where("_in").select(*ks, "_from"))
+        while (more := cut(entered.join(jump, [*ks, "_from"]).select(*ks, F.col("_to").alias("_from")).join(entered, [*ks, "_from"], "left_anti"))).take(1):
+            entered = cut(entered.unionByName(more).distinct())
+            hop = jump.select(*ks, F.col("_from").alias("_to"), F.col("_to").alias("_far"))
+            jump = cut(jump.join(hop, [*ks, "_to"]).select(*ks, "_from", F.col("_far").alias("_to")))
+        nxt = nxt.drop("_in").join(entered.withColumn("_in", F.lit(True)), [*ks, "_from"], "left").withColumn("_in", F.coalesce("_in", F.lit(False)))
+    kept = nxt.groupBy(*ks, "_block").applyInPandas(walk, f"{by}, _s {types['_from']}")
+    return e.join(kept, [*ks, "_s"], "left_semi").drop("_s", "_e")
