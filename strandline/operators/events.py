@@ -79,8 +79,8 @@ def refractory(bars: DataFrame, signal: Column, distance: int) -> DataFrame:
 def non_overlapping(events: DataFrame, start: str, end: str, keys: tuple[str, ...] = ("symbol",), block: int = 4096) -> DataFrame:
     """Greedy: keep the first event, drop those that start before it ends, and so on. An event that starts when one ends stays.
 
-    The kept events are the orbit of `next`: the first event whose start is not before the end. Events are dealt into blocks of
-    `block` in the order of their starts. In each block a grouped function tells for every event where a walk from it leaves
+    The kept events are the orbit of `next`: the first later event whose start is not before the end. Events are dealt into blocks of
+    `block` in the order of their starts; one of no length is followed by the next start. In each block a grouped function tells for every event where a walk from it leaves
     the block; the walk from the first event over blocks doubles these pointers, so its number of joins is the logarithm of
     the number of blocks; then each block that is entered is walked once. start and end are numbers or times that aren't null; starts
     are unique for each key.
@@ -93,7 +93,9 @@ def non_overlapping(events: DataFrame, start: str, end: str, keys: tuple[str, ..
     ends = e.select(*ks, F.col("_s").alias("_from"), F.col("_e").alias("_at"), F.lit(0).alias("_tag"), none.alias("_start"))
     starts = e.select(*ks, none.alias("_from"), F.col("_s").alias("_at"), F.lit(1).alias("_tag"), F.col("_s").alias("_start"))
     nxt = ends.unionByName(starts).withColumn("_next", F.first("_start", ignorenulls=True).over(last)).where("_tag = 0")
-    rank = F.row_number().over(Window.partitionBy(*ks).orderBy("_from")) - 1
+    by_start = Window.partitionBy(*ks).orderBy("_from")
+    nxt = nxt.withColumn("_next", F.when(F.col("_next") <= F.col("_from"), F.lead("_from").over(by_start)).otherwise(F.col("_next")))
+    rank = F.row_number().over(by_start) - 1
     nxt = cut(nxt.select(*ks, "_from", F.coalesce("_next", "_from").alias("_to"), F.col("_next").isNotNull().alias("_more"), F.floor(rank / block).alias("_block"), (rank == 0).alias("_in")))
     types = {f.name: f.dataType.simpleString() for f in nxt.schema}
     by = ", ".join(f"{k} {types[k]}" for k in ks)
