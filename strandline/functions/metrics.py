@@ -44,3 +44,16 @@ def utility(daily: str | Column, data_days: float, trading_days: float = 365.0)
     r = F.sum(col(daily))
     s = div(r, F.sqrt(F.sum(col(daily) * col(daily)))) * (trading_days / data_days) ** 0.5
     return {"sharpe": s, "utility": r * F.greatest(F.lit(0.0), F.least(F.lit(6.0), s)) * (trading_days / data_days), "annual": r * (trading_days / data_days)}
+
+
+def student_tail(t: Column, df: Column, steps: int = 400) -> Column:
+    """P(T > t) of Student's t: Simpson's rule over the angle, atan(t / sqrt(df)) = a, of cos(a)**(df - 1), all as one column."""
+    n = df.cast("double")
+    whole, upper = F.lit(3.141592653589793 / 2), F.atan(t / F.sqrt(n))
+
+    def area(a: Column) -> Column:
+        f = lambda k: F.pow(F.cos(a * k / steps), n - 1)
+        inner = F.aggregate(F.sequence(F.lit(1), F.lit(steps - 1)), F.lit(0.0), lambda acc, k: acc + F.when(k % 2 == 1, 4.0).otherwise(2.0) * f(k))
+        return a / steps / 3 * (f(F.lit(0)) + inner + f(F.lit(steps)))
+
+    return 0.5 - area(upper) / area(whole) / 2
