@@ -11,7 +11,8 @@ that are equal have equal anchors. Neighbouring strings with one anchor are a un
 1. Units are dealt by anchor. An anchor in one document only is done with. A unit whose whole text is in a smaller document is
    a copy: all its strings are. What is left of anchors shared by documents with different units is open.
 2. The texts of open units, about 70 bytes each, are dealt by anchor. Their strings' identifiers are refined there, and the
-   strings that a smaller document has too are marked.
+   strings that a smaller document has too are marked. The strings of an anchor with more than HOT open units are dealt by their own
+   identifiers in place of their texts by anchor, so a passage that many documents share in part is spread over all buckets.
 3. Each document's marks are joined into runs.
 
 Rows go in packed batches, one for each bucket of the hash, so a frequent passage is spread over as many rows as there are
@@ -36,6 +37,9 @@ from .tokens import byte_batches, rows_of
 
 LENGTH, GRAM = 50, 16
 CHUNK = 1 << 22
+#: Open units an anchor may have in a bucket before its strings are dealt one by one.
+HOT = 1 << 12
+COPY, OPEN, OFTEN = 0, 1, 2
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -135,7 +139,7 @@ def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kinds.get(k, pa.binary())) for c, k in zip(zip(*rows) if rows else [[]] * len(names), names)], names)
 
 
-def repeated_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = 1 << 23) -> DataFrame:
+def repeated_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = 1 << 23, hot: int = HOT) -> DataFrame:
     """One row for each row of df: id_col, n_bytes, n_removed, n_spans, kept_sha256, spans (removed runs: start and end in bytes)."""
     text_batches(df.sparkSession)
     source = df.select(F.col(id_col).cast("long").alias("id"), F.encode(text_of(text_col), "UTF-8").alias("text"))
@@ -153,38 +157,50 @@ def repeated_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         at, anchor = at.astype(np.int32), anchor.astype(np.uint32)
         # Anchors are refined in parts, so that a frequent one doesn't widen what is sorted at once beyond itself.
         parts = max(1, len(key) >> 18)
-        found = [_refined(doc, at, anchor, key, np.nonzero(mix(anchor.astype(np.uint64)) % np.uint64(parts) == k)[0]) for k in range(parts)]
-        doc, at, open_ = (np.concatenate(x) for x in zip(*found))
-        return pa.Table.from_arrays([pa.array(doc), pa.array(at * np.int32(2) + open_)], names=["id", "unit"])
+        found = [_refined(doc, at, anchor, key, np.nonzero(mix(anchor.astype(np.uint64)) % np.uint64(parts) == k)[0], hot) for k in range(parts)]
+        doc, at, kind = (np.concatenate(x) for x in zip(*found))
+        return pa.Table.from_arrays([pa.array(doc), pa.array(at * np.int32(4) + kind)], names=["id", "unit"])
 
     packed = source.mapInArrow(send_units, "bucket int, first long, ids binary, c0 binary, c1 binary, c2 binary")
-    # A row for each unit that counts, twice its number and one more if it is open: their number goes with the bytes, that of (document, bucket) pairs doesn't.
+    # A row for each unit that counts, four times its number and its kind (COPY, OPEN, OFTEN): their number goes with the bytes, that of (document, bucket) pairs doesn't.
     told = packed.groupBy("bucket").applyInArrow(refine_units, "id long, unit int")
     told = written(told.groupBy("id").agg(F.collect_list("unit").alias("units")))
     joined = source.join(told, "id", "left")
 
     def send_strings(batches):
-        rows = ((i, x, _units(u, True)) for i, x, u in rows_of(batches) if u is not None)
-        for part in byte_batches((r for r in rows if len(r[2])), 1, 1 << 19):
+        rows = ((i, x, np.array(u, np.int64)) for i, x, u in rows_of(batches) if u is not None)
+        for part in byte_batches((r for r in rows if (r[2] & 3 != COPY).any()), 1, 1 << 19):
             u = Units([r[1] for r in part])
-            pick = _chosen(u, [r[2] for r in part])
-            ids = np.array([r[0] for r in part], np.int64)[u.doc[pick]]
-            first, last = u.from_[pick], u.to[pick]
+            all_ids = np.array([r[0] for r in part], np.int64)
+            pick = _chosen(u, [_units(r[2], OPEN) for r in part])
+            ids, first, last = all_ids[u.doc[pick]], u.from_[pick], u.to[pick]
             rows = deal(u.anchor[pick], buckets, [(ids, 8), (u.s0[pick], 5), (last - first + 1, 1), (np.arange(len(pick)), 4)])
-            yield _batch([(*r[:-1], b"".join(u.raw[first[k] : last[k] + LENGTH] for k in unplanes(r[-1], 4).astype(np.int64))) for r in rows], ["bucket", "first", "ids", "c0", "c1", "text"])
+            out = [(*r[:-1], b"".join(u.raw[first[k] : last[k] + LENGTH] for k in unplanes(r[-1], 4).astype(np.int64))) for r in rows]
+            pick = _chosen(u, [_units(r[2], OFTEN) for r in part])
+            if len(pick):
+                n = u.to[pick] - u.from_[pick] + 1
+                unit = np.repeat(pick, n)
+                s = u.from_[unit] + np.arange(len(unit)) - np.repeat(np.cumsum(n) - n, n)
+                key = u.b50(s)
+                out += [(buckets + k, f, i, at, b"", x) for k, f, i, at, x in deal(key, buckets, [(all_ids[u.doc[unit]], 8), (s + u.shift[unit], 5), (key, 8)])]
+            yield _batch(out, ["bucket", "first", "ids", "c0", "c1", "text"])
 
     def refine_strings(t: pa.Table) -> pa.Table:
-        doc, at, n = gathered(t, [5, 1])
-        n = n.astype(np.int64)
-        edge = np.concatenate([[0], np.cumsum(n)])
-        key, row = np.empty(edge[-1], np.uint64), 0
-        for texts, count in _portions(t["text"].to_pylist(), [len(x) for x in t["c1"].to_pylist()]):
-            b16, m = grams16(texts), n[row : row + count]
-            begin = np.concatenate([[0], np.cumsum(m + LENGTH - 1)])[:-1]
-            step = np.arange(int(m.sum())) - np.repeat(edge[row : row + count] - edge[row], m)
-            key[edge[row] : edge[row + count]] = strings50(b16, np.repeat(begin, m) + step)
-            row += count
-        # A frequent anchor may have millions of strings: they are refined in parts by their identifiers.
+        if t["bucket"][0].as_py() >= buckets:
+            (doc, at), key = gathered(t, [5]), np.concatenate([unplanes(x, 8) for x in t["text"].to_pylist()])
+            edge = np.arange(len(key) + 1)
+        else:
+            doc, at, n = gathered(t, [5, 1])
+            n = n.astype(np.int64)
+            edge = np.concatenate([[0], np.cumsum(n)])
+            key, row = np.empty(edge[-1], np.uint64), 0
+            for texts, count in _portions(t["text"], [len(x) for x in t["c1"].to_pylist()]):
+                b16, m = grams16(texts), n[row : row + count]
+                begin = np.concatenate([[0], np.cumsum(m + LENGTH - 1)])[:-1]
+                step = np.arange(int(m.sum())) - np.repeat(edge[row : row + count] - edge[row], m)
+                key[edge[row] : edge[row + count]] = strings50(b16, np.repeat(begin, m) + step)
+                row += count
+        # Refined in parts by identifier, so that what is sorted at once stays small.
         parts = max(1, len(key) >> 19)
         found = [_marked(doc, at, edge, key, np.nonzero(key % np.uint64(parts) == k)[0]) for k in range(parts)]
         doc, at = (np.concatenate(x) for x in zip(*found))
@@ -208,11 +224,11 @@ def repeated_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return out.select(F.col("id").cast(df.schema[id_col].dataType).alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")
 
 
-def _refined(doc: np.ndarray, at: np.ndarray, anchor: np.ndarray, key: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the units of pick, those that are copies of a smaller document's or open: document, unit number, whether open."""
+def _refined(doc: np.ndarray, at: np.ndarray, anchor: np.ndarray, key: np.ndarray, pick: np.ndarray, hot: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the units of pick, those that are copies of a smaller document's or open: document, unit number, kind."""
     doc, at, anchor, key = doc[pick], at[pick], anchor[pick], key[pick]
     if not len(doc):
-        return doc, at, np.zeros(0, bool)
+        return doc, at, np.zeros(0, np.int32)
     order = np.lexsort((doc, key, anchor))
     doc, at, anchor, key = doc[order], at[order], anchor[order], key[order]
     new_anchor, new_unit = _edges(anchor), _edges(anchor, key)
@@ -222,14 +238,16 @@ def _refined(doc: np.ndarray, at: np.ndarray, anchor: np.ndarray, key: np.ndarra
     many = np.add.reduceat(new_unit.astype(np.int32), fa)[a] > 1
     wide = np.maximum.reduceat(doc, fa) > np.minimum.reduceat(doc, fa)
     open_ = ~copy & many & wide[a]
+    often = np.add.reduceat(open_.astype(np.int64), fa)[a] > hot
     say = copy | open_
-    return doc[say], at[say], open_[say]
+    return doc[say], at[say], np.where(copy, COPY, np.where(often, OFTEN, OPEN)).astype(np.int32)[say]
 
 
-def _portions(texts: list[bytes], counts: list[int], most: int = 1 << 19):
+def _portions(texts: pa.ChunkedArray, counts: list[int], most: int = 1 << 19):
     """texts joined up to about `most` bytes, with how many units they hold."""
     held, size, n = [], 0, 0
-    for x, c in zip(texts, counts):
+    for x, c in zip(texts, counts):  # one at a time out of Arrow
+        x = x.as_py()
         held.append(x)
         size, n = size + len(x), n + c
         if size >= most:
@@ -251,10 +269,10 @@ def _marked(doc: np.ndarray, at: np.ndarray, edge: np.ndarray, key: np.ndarray,
     return d[say], at[unit[chosen]].astype(np.int64) + pick[chosen] - edge[unit[chosen]]
 
 
-def _units(told: list[int], open_: bool) -> np.ndarray:
-    """The numbers of the open units, or of the copies."""
-    x = np.sort(np.array(told, np.int64))
-    return x[x % 2 == open_] >> 1
+def _units(told: list[int] | np.ndarray, kind: int) -> np.ndarray:
+    """The numbers of the units of a kind."""
+    x = np.sort(np.asarray(told, np.int64))
+    return x[x & 3 == kind] >> 2
 
 
 def _chosen(u: Units, wanted: list[np.ndarray]) -> np.ndarray:
@@ -265,7 +283,7 @@ def _chosen(u: Units, wanted: list[np.ndarray]) -> np.ndarray:
 
 
 def _cut(part: list[tuple]) -> pa.RecordBatch:
-    copied = [(k, _units(u, False)) for k, (_, _, u, *_) in enumerate(part) if u is not None]
+    copied = [(k, _units(u, COPY)) for k, (_, _, u, *_) in enumerate(part) if u is not None]
     copied = [(k, w) for k, w in copied if len(w)]
     u = Units([part[k][1] for k, _ in copied])
     pick = _chosen(u, [w for _, w in copied])

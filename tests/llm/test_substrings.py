@@ -33,10 +33,12 @@ def corpus(seed: int, n: int = 60):
     return rows + [(2000, None), (2001, ""), (2002, rows[0][1]), (2003, "y" * 49), (2004, "y" * 49), (2005, "z" * 5000), (2006, "z" * 5000)]
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_as_brute_force(spark, seed):
+@pytest.mark.parametrize("seed,hot", [(1, 1 << 12), (2, 0), (3, 5)])
+def test_as_brute_force(spark, seed, hot):
     rows = corpus(seed)
-    got = repeated_bytes(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), bucket_bytes=64)
+    r = random.Random(seed)
+    rows += [(3000 + i, "".join(r.choice("pq") for _ in range(9)) + "one passage that very many of the documents have in common, but not what is about it" + str(r.random())[: i % 7]) for i in range(80)]
+    got = repeated_bytes(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), bucket_bytes=64, hot=hot)
     assert {tuple(r)[:5] for r in got.collect()} == brute(rows)
 
 
