@@ -68,6 +68,8 @@ def title_tickers(title: str | Column, marker: str) -> Column:
     return F.when(F.size(bracketed) > 0, bracketed).otherwise(F.array_except(F.array_distinct(capitals), F.array(*map(F.lit, NOT_TICKERS))))
 
 
-def liquidation_price(entry: str | Column, leverage: float, long: bool = True) -> Column:
-    """Of an isolated position: long E (1 - 1/L) 1.005, short E (1 + 1/L) 0.995."""
-    return col(entry) * ((1 - 1 / leverage) * 1.005 if long else (1 + 1 / leverage) * 0.995)
+def liquidation_price(entry: str | Column, leverage: float, long: bool = True, added: float | Column = 0.0) -> Column:
+    """Of an isolated position: long (E (1 - 1/L) - added) 1.005, short (E (1 + 1/L) + added) 0.995; added is margin put in later, for each unit."""
+    if long:
+        return (col(entry) * (1 - 1 / leverage) - added) * 1.005
+    return (col(entry) * (1 + 1 / leverage) + added) * 0.995

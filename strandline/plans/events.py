@@ -27,12 +27,25 @@ def falling(t) -> DataFrame:
     return t.bars.where("close < open").select("symbol", F.col("bar_id").alias("i0"), F.col("close").alias("p0"), vol.alias("vol"), (F.col("bar_id") + 10).alias("i1"))
 
 
-@query("a1_volume_bars")
+def _tick_bars_sql(size: int, target: str) -> str:
+    o = "(partition by symbol order by time, id rows between unbounded preceding and current row)"
+    return f"""with {TICKS}, c as (select *, {target} as target, sign(price - lag(price) over (partition by symbol order by time, id)) as s from ticks),
+u as (select *, last_value(case when s <> 0 then s end ignore nulls) over {o} as up, sum(target) over {o} as cum from c),
+x as (select *, coalesce(cum // {size} > (lag(cum) over (partition by symbol order by time, id)) // {size}, false) as crossed, (cum % {size})::bigint as rest from u),
+pp as (select *, unnest(case when crossed and rest > 0 then [target - rest, rest] else [target] end) as part, unnest(case when crossed and rest > 0 then [0, 1] else [0] end) as piece from x),
+op as (select *, case when piece = 1 then 1 when lag(crossed and rest = 0) over (partition by symbol order by time, id, piece) then 1 else 0 end as opens from pp),
+bb as (select *, sum(opens) over (partition by symbol order by time, id, piece rows between unbounded preceding and current row)::bigint as bar, part / target::double as share, coalesce(up < 0, false) as buy from op)
+select symbol, bar, min(time) as time0, max(time) as time1, first(price order by time, id, piece) as open, max(price) as high, min(price) as low, last(price order by time, id, piece) as close,
+  sum(qty * share) as volume, sum(case when buy then qty * share else 0 end) as volume_buy, sum(price * qty * share) as dollar, sum(case when buy then price * qty * share else 0 end) as dollar_buy,
+  count(up) as tick, sum(up)::bigint as net_tick, sum(price * qty * share) / sum(qty * share) as vwap from bb group by symbol, bar having sum(part) >= 0.999::double * {size}"""
+
+
+@query("a1_volume_bars", _tick_bars_sql(5000, "qty"))
 def a1(t):
     return B.tick_bars(t.ticks, 5000)
 
 
-@query("a1_dollar_bars")
+@query("a1_dollar_bars", _tick_bars_sql(50_000_000, "round(price * qty * 100)::bigint"))
 def a1_dollar(t):
     return B.tick_bars(t.ticks, 50_000_000, "dollar")
 
@@ -81,7 +94,13 @@ def r1(t):
     return g.where("n = 10").select("symbol", "i0", F.round("slope", 6).alias("slope"), F.round("t", 4).alias("t"))
 
 
-@query("e3_cusum")
+@query("e3_cusum", "with recursive " + BARS + """, d as materialized (select symbol, bar_id, time, ln(close) - lag(ln(close)) over (partition by symbol order by bar_id) as dx from bars),
+w as (
+  select symbol, bar_id, time, 0.0::double as hi, 0.0::double as lo, false as up, false as down from d where bar_id = 0
+  union all
+  select d.symbol, d.bar_id, d.time, case when greatest(0, w.hi + dx) > 1 then 0 else greatest(0, w.hi + dx) end::double, case when least(0, w.lo + dx) < -1 then 0 else least(0, w.lo + dx) end::double, greatest(0, w.hi + dx) > 1, least(0, w.lo + dx) < -1
+  from w join d on d.symbol = w.symbol and d.bar_id = w.bar_id + 1)
+select symbol, time, bar_id, side::bigint as side from w, (values (-1), (1)) s(side) where (side = 1 and up) or (side = -1 and down)""")
 def e3(t):
     return cusum_events(t.bars.withColumn("x", F.ln("close")).withColumn("h", F.lit(1.0)), "x", "h")
 
