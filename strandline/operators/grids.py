@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions.windows import lag
 
-from .events import non_overlapping
-from .events import paired_trades
+from .events import non_overlapping, paired_trades
 
 KEYS = ("symbol", "thr")
 
