@@ -206,7 +206,17 @@ def t30(t):
     return _value(ema(_ppo(t), "sg", "ppo", alpha_of(9), 9), F.col("sg"))
 
 
-@query("e4_cusum_sampling")
+_SAMPLING = [_LC, {"back": "ln(close / lag(close, 2) over o)", "dx": "lc - lag(lc) over o"}, *s_ewm("back", 50, "m", "sd", least=20), {"h": "sd / 2"}]
+_HI, _LO = "greatest(0, w.hi + d.dx)", "least(0, w.lo + d.dx)"
+
+
+@query("e4_cusum_sampling", S.steps(BARS, "bars", _SAMPLING, "", "").split("\nselect")[0] + f""", d as materialized (select symbol, bar_id, time, dx, h from step{len(_SAMPLING) - 1}),
+w as (
+  select symbol, bar_id, time, 0.0::double as hi, 0.0::double as lo, false as up, false as down from d where bar_id = 0
+  union all
+  select d.symbol, d.bar_id, d.time, case when coalesce({_HI} > h, false) then 0 else {_HI} end::double, case when coalesce({_LO} < -h, false) then 0 else {_LO} end::double, coalesce({_HI} > h, false), coalesce({_LO} < -h, false)
+  from w join d on d.symbol = w.symbol and d.bar_id = w.bar_id + 1)
+select symbol, time, bar_id, side::bigint as side from w, (values (-1), (1)) s(side) where (side = 1 and up) or (side = -1 and down)""")
 def e4(t):
     """The cumulative-sum filter of log closes with half the smoothed volatility as threshold."""
     b = _log(t).withColumn("back", F.ln(F.col("close") / lag("close", 2)))
