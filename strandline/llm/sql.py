@@ -72,4 +72,33 @@ c as (
 select doc_id, size, source_size, target, copies::bigint as copies, (copies * size)::bigint as taken from c
 """
 
-SQL = {"op1_exact_dedup": _EXACT, "op2_embedding_near_dedup": _EMBEDDINGS, "op3_mixing": _MIX}
+_AUDIT = rf"""
+with letters as (select unnest(['A', 'B', 'C', 'D', 'E']) as f),
+orders as (
+  select a.f || b.f || c.f || d.f || e.f as filter_order from letters a, letters b, letters c, letters d, letters e
+  where len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+texts as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '{_WORD}') as words from documents),
+docs as (
+  select doc_id, part,
+    (case when len(words) < 50 then 'A' else '' end) || (case when 100 * len(list_distinct(words)) < 65 * len(words) then 'B' else '' end)
+    || (case when 100 * len(regexp_extract_all(text, '[A-Z]')) > 5 * length(text) then 'C' else '' end)
+    || (case when regexp_matches(text, '[#$%&*|]') then 'D' else '' end)
+    || (case when doc_id > min(doc_id) over (partition by text) then 'E' else '' end) as fails
+  from texts),
+told as (
+  select docs.part, docs.fails, coalesce(l.good, 0) as good, coalesce(l.bad, 0) as bad
+  from docs left join (select doc_id, max(coalesce((quality = 1)::int, 0)) as good, max(coalesce((toxic = 1)::int, 0)) as bad from labels group by doc_id) l on docs.doc_id = l.doc_id),
+steps as (
+  select told.*, o.filter_order, s.step::int as step, contains(fails, filter_order[s.step]) as hit,
+    length(regexp_replace(fails, '[^' || filter_order[1:s.step] || ']', '', 'g')) - contains(fails, filter_order[s.step])::int > 0 as gone
+  from told, orders o, range(1, 6) s(step)),
+summed as (
+  select part, filter_order, step,
+    count(*) filter (not hit and not gone) as kept, count(*) filter (hit and not gone) as removed, count(*) filter (hit and gone) as redundant,
+    count(*) filter (fails = filter_order[step]) as unique_fails,
+    coalesce(sum(good) filter (hit and not gone), 0)::bigint as good_lost, coalesce(sum(bad) filter (hit and not gone), 0)::bigint as toxic_lost
+  from steps group by part, filter_order, step)
+select *, (sum(removed) over (partition by part, filter_order[step]))::bigint as shapley from summed
+"""
+
+SQL = {"op1_exact_dedup": _EXACT, "op2_embedding_near_dedup": _EMBEDDINGS, "op3_mixing": _MIX, "op13_filter_audit": _AUDIT}
