@@ -82,6 +82,12 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(_table(spark, sf_dir, "documents"))
 
 
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import kd_shards
+
+    return kd_shards(_table(spark, sf_dir, "documents"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .filter_audit import filter_audit
 
@@ -96,7 +102,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     made = (op1_exact_dedup, op2_embedding_near_dedup, op3_mixing, op4_secret_scan, op5_substring_dedup, op6_token_counts, op7_best_fit_packing)
-    made += (op8_ngram_jaccard_join, op9_language_id, op10_token_id_output, op11_spelling_variants, op13_filter_audit)
+    made += (op8_ngram_jaccard_join, op9_language_id, op10_token_id_output, op11_spelling_variants, op12_sharding, op13_filter_audit)
     return {f.__name__: f for f in made} | {"pipeline": pipeline}
 
 

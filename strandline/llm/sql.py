@@ -139,4 +139,50 @@ walk(word, latest, form) as (
 select f.word, f.form, w.latest as root, f.n, f.n_near::bigint as n_near, f.form_n::bigint as form_n from forms f join walk w on w.word = f.word and w.form is null
 """
 
-SQL = {"op1_exact_dedup": _EXACT, "op2_embedding_near_dedup": _EMBEDDINGS, "op3_mixing": _MIX, "op11_spelling_variants": _SPELLING, "op13_filter_audit": _AUDIT}
+
+
+def _hex(text: str, digits: int) -> str:
+    return f"('0x' || substr(md5({text}), 1, {digits}))::bigint"
+
+
+def _kd_level(before: str, after: str) -> str:
+    """Each node with over one shard in it is cut along its widest dimension at the weighted median."""
+    return f"""
+{after}_nodes as (
+  select low, high, sum(size)::bigint as total, list_position(w, list_max(w)) as dim, low + (high - low) // 2 as mid, sum(size)::double * ((high - low) // 2) / (high - low) as goal
+  from (select *, [(max(c0) over n - min(c0) over n)::double / greatest(max(c0) over () - min(c0) over (), 1), (max(c1) over n - min(c1) over n)::double / greatest(max(c1) over () - min(c1) over (), 1),
+      (max(c2) over n - min(c2) over n)::double / greatest(max(c2) over () - min(c2) over (), 1)] as w from {before} window n as (partition by low))
+  where high - low > 1 group by low, high, w),
+{after}_keyed as (
+  select b.*, n.total, n.mid, n.goal, [c0, c1, c2][n.dim] * 4294967296 + tie as key from {before} b left join {after}_nodes n on b.low = n.low),
+{after}_sums as (
+  select *, sum(size) over (partition by low, key) as w, sum(size) over (partition by low order by key) as till,
+    sum(size) over (partition by low, key, pick) as w2, sum(size) over (partition by low, key order by pick) as till2 from {after}_keyed),
+{after}_sided as (
+  select *, case
+      when till <= goal then true
+      when till - w > goal then false
+      when w <= total * 0.01::double then goal - (till - w) >= w / 2
+      when till - w + till2 <= goal then true
+      when till - w + till2 - w2 > goal then false
+      else goal - (till - w + till2 - w2) >= w2 / 2 end as on_left from {after}_sums),
+{after} as (
+  select doc_id, size, text_crc32, tie, pick, seat, c0, c1, c2,
+    case when mid is null or on_left then low else mid end as low, case when mid is null or not on_left then high else mid end as high from {after}_sided)"""
+
+
+_SHARDS = rf"""
+with
+crc as ({_CRC_TABLE}),
+d0 as (
+  select doc_id, coalesce(text, '') as text, md5(coalesce(text, '')) as digest, coalesce(doc_id::varchar, 'null') as name,
+    coalesce({_hex("source", 4)} + 1, 0) as p0, coalesce({_hex("lang", 4)} + 1, 0) as p1, octet_length(encode(coalesce(text, '')))::bigint + 1 as size from documents),
+l0 as (
+  select doc_id, size, {_crc32("text")} as text_crc32, ('0x' || substr(digest, 1, 8))::bigint as tie, {_hex("name", 8)} as pick, {_hex("name || ':' || digest", 8)} as seat,
+    min(p0) over g as c0, min(p1) over g as c1, (length(bin(size)) - 1) * 1024 + floor(size * 1024 / pow(2, length(bin(size)) - 1))::bigint - 1024 as c2, 0 as low, 8 as high
+  from d0, crc window g as (partition by digest, size)),
+{_kd_level("l0", "l1")},{_kd_level("l1", "l2")},{_kd_level("l2", "l3")}
+select doc_id, size, text_crc32, 'bytes' as law, low::int as shard, row_number() over (partition by low order by seat, doc_id nulls first) - 1 as slot, null::int as grown_shard from l3
+"""
+
+SQL = {"op1_exact_dedup": _EXACT, "op2_embedding_near_dedup": _EMBEDDINGS, "op3_mixing": _MIX, "op11_spelling_variants": _SPELLING, "op12_sharding": _SHARDS, "op13_filter_audit": _AUDIT}
