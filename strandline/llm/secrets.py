@@ -15,7 +15,9 @@ The evidence is a p-value whose power grows with the length, so short candidates
 at rate FDR runs over all candidates of the corpus, separately in each band of lengths: their p-values are counted in
 fixed bins by Spark, the threshold of a band comes from its bins, and the spans under it are added.
 
-Defined results: null text is empty and has no spans; with no candidates nothing is added; candidates of equal p-value are added or left together.
+Defined results: null text is empty and has no spans; with no candidates nothing is added; candidates of equal p-value are added or left
+together; a run of any length is tested whole; rows that repeat an id, or have none, are scanned each; an empty table gives an empty
+result; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -63,6 +65,8 @@ ALPHABETS = {  # Fixed values: each encoding's symbols in the order of their val
     "base64url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
 }
 _VALUE = {k: {c: i for i, c in enumerate(v)} for k, v in ALPHABETS.items()}
+_CODE = {k: np.array([v.get(chr(c), 0) for c in range(128)], np.uint8) for k, v in _VALUE.items()}
+_CLASS = np.array([1 if 97 <= c < 123 else 2 if 65 <= c < 91 else 3 if 48 <= c < 58 else 0 for c in range(128)], np.uint8)
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -89,37 +93,64 @@ def _chi2_z(x: float, mean: float, var: float) -> float:
     return ((x / scale / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df))
 
 
+def log_binomial_tail(n: int, k: int, p: float) -> float:
+    """Natural logarithm of the probability of k or more successes in n, in logarithms throughout: from the nearer side of k, until terms no longer count."""
+    if k <= 0:
+        return 0.0
+    up = k > n * p
+    at = k if up else k - 1
+    first = math.lgamma(n + 1) - math.lgamma(at + 1) - math.lgamma(n - at + 1) + at * math.log(p) + (n - at) * math.log1p(-p)
+    total = term = 1.0
+    while term > 1e-17 * total and (at < n if up else at > 0):
+        term *= (n - at) / (at + 1) * p / (1 - p) if up else at / (n - at + 1) * (1 - p) / p
+        at += 1 if up else -1
+        total += term
+    log_sum = first + math.log(total)
+    return min(0.0, log_sum) if up else math.log1p(-min(math.exp(log_sum), 1 - 1e-16))
+
+
+def _serial(value: np.ndarray, step: int = 1 << 18) -> float:
+    """Lag-one correlation of the values, a part at a time."""
+    mean, num, den = float(value.mean()), 0.0, 0.0
+    for k in range(0, len(value), step):
+        v = value[k : k + step + 1].astype(float) - mean
+        num += float((v[1:] * v[:-1]).sum())
+        den += float((v[:step] * v[:step]).sum())
+    return num / max(den, 1e-9)
+
+
 def battery(token: str) -> float | None:
-    """log10 of the p-value against ordinary text; None if it has no encoding or is not random in it."""
+    """log10 of the p-value against ordinary text; None if it has no encoding or is not random in it.
+
+    Memory is a few bytes for each character, whatever the length.
+    """
     kind = encoding_of(token)
     if kind is None:
         return None
-    body = token.rstrip("=")
-    value, n, size = [_VALUE[kind][c] for c in body], len(body), len(ALPHABETS[kind])
-    chi2 = sum(c * c for c in Counter(value).values()) * size / n - n
+    body = np.frombuffer(token.rstrip("=").encode(), np.uint8)
+    value, n, size = _CODE[kind][body], len(body), len(ALPHABETS[kind])
+    chi2 = sum(c * c for c in np.bincount(value).tolist()) * size / n - n
     if 2 * _normal_tail(abs(_chi2_z(max(chi2, 1e-9), size - 1, 2 * (size - 1) * (1 - 1 / n)))) < FIT / 3:
         return None
-    high = [v >= size / 2 for v in value]
-    a = sum(high)
+    high = value >= size / 2
+    a = int(high.sum())
     b = n - a
     if not a or not b:
         return None
     mean = 1 + 2 * a * b / n
-    runs = 1 + sum(x != y for x, y in zip(high, high[1:]))
+    runs = 1 + int((high[1:] != high[:-1]).sum())
     if 2 * _normal_tail(abs(runs - mean) / math.sqrt(max((mean - 1) * (mean - 2) / (n - 1), 1e-9))) < FIT / 3:
         return None
-    v = np.array(value, float) - np.mean(value)
-    serial = float((v[1:] * v[:-1]).sum() / max((v * v).sum(), 1e-9))
-    if 2 * _normal_tail(abs(serial + 1 / n) * math.sqrt(n)) < FIT / 3:
+    if 2 * _normal_tail(abs(_serial(value) + 1 / n) * math.sqrt(n)) < FIT / 3:
         return None
     match = max(WORD_MATCH, 2.2 / size)
     extra = (n - 1) * (size * match - 1)
     z = _chi2_z(max(chi2, 1e-9), size - 1 + extra, 2 * (size - 1) + 4 * extra)
-    p_match = max(_normal_tail(-z), 1e-300)
-    classes = ["l" if c.islower() else "u" if c.isupper() else "d" if c.isdigit() else "o" for c in body]
-    changes = sum(x != y for x, y in zip(classes, classes[1:]))
-    p_class = max(min(1.0, sum(math.comb(n - 1, k) * CLASS_CHANGE**k * (1 - CLASS_CHANGE) ** (n - 1 - k) for k in range(changes, n))), 1e-300)
-    half = -math.log(p_match) - math.log(p_class)  # Fisher: half of a chi-squared with four degrees of freedom
+    class_ = _CLASS[body]
+    least = math.log(1e-300)
+    log_match = math.log(max(_normal_tail(-z), 1e-300))
+    log_class = max(log_binomial_tail(n - 1, int((class_[1:] != class_[:-1]).sum()), CLASS_CHANGE), least)
+    half = -log_match - log_class  # Fisher: half of a chi-squared with four degrees of freedom
     return (-half + math.log1p(half)) / math.log(10)
 
 

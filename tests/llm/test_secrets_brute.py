@@ -114,3 +114,58 @@ def test_battery_keeps_random_and_rejects_the_rest():
         p = S.battery(text)
         assert p is None or p > -3
     assert S.battery("=" * 20) is None and math.isfinite(S.battery("Zm9vYmFyMTIzNDU2Nzg5MGFiY2RlZg") or 0)
+
+
+def plain_battery(token):
+    """The formulas of the battery over Python lists, with the binomial tail as a sum of logarithms."""
+    kind = S.encoding_of(token)
+    body = token.rstrip("=")
+    value, n, size = [S.ALPHABETS[kind].index(c) for c in body], len(body), len(S.ALPHABETS[kind])
+    tail = lambda z: 0.5 * math.erfc(z / math.sqrt(2))
+    chi2 = sum(c * c for c in Counter(value).values()) * size / n - n
+    high = [v >= size / 2 for v in value]
+    a = sum(high)
+    mean, runs = 1 + 2 * a * (n - a) / n, 1 + sum(x != y for x, y in zip(high, high[1:]))
+    m = sum(value) / n
+    serial = sum((x - m) * (y - m) for x, y in zip(value, value[1:])) / sum((x - m) ** 2 for x in value)
+    tests = (abs(S._chi2_z(chi2, size - 1, 2 * (size - 1) * (1 - 1 / n))), abs(runs - mean) / math.sqrt((mean - 1) * (mean - 2) / (n - 1)), abs(serial + 1 / n) * math.sqrt(n))
+    if any(2 * tail(z) < S.FIT / 3 for z in tests):
+        return None
+    extra = (n - 1) * (size * max(S.WORD_MATCH, 2.2 / size) - 1)
+    p_match = max(tail(-S._chi2_z(chi2, size - 1 + extra, 2 * (size - 1) + 4 * extra)), 1e-300)
+    kinds = ["l" if c.islower() else "u" if c.isupper() else "d" if c.isdigit() else "o" for c in body]
+    k, p = sum(x != y for x, y in zip(kinds, kinds[1:])), S.CLASS_CHANGE
+    logs = [math.lgamma(n) - math.lgamma(j + 1) - math.lgamma(n - j) + j * math.log(p) + (n - 1 - j) * math.log1p(-p) for j in range(k, n)]
+    top = max(logs, default=-1e9)
+    log_class = max(min(0.0, top + math.log(sum(math.exp(x - top) for x in logs))), math.log(1e-300)) if logs else math.log(1e-300)
+    half = -math.log(p_match) - log_class
+    return (-half + math.log1p(half)) / math.log(10)
+
+
+@pytest.mark.parametrize("n", [20, 1000, 100_000])
+@pytest.mark.parametrize("kind", list(S.ALPHABETS))
+def test_long_runs_as_plain(kind, n):
+    r = random.Random(n)
+    for _ in range(20 if n < 1000 else 4 if n == 1000 else 1):
+        token = "".join(r.choices(S.ALPHABETS[kind], k=n))
+        got, want = S.battery(token), plain_battery(token)
+        assert (got is None) == (want is None) and (got is None or abs(got - want) <= 1e-6 * max(1, abs(want)))
+
+
+def test_very_long_runs_through_the_query(spark):
+    r = random.Random(6)
+    tokens = {k: "".join(r.choices(S.ALPHABETS[k], k=n)) for k, n in (("base64", 4000), ("base62", 5_000_000), ("hex_upper", 5_000_000), ("decimal", 100_000))}
+    docs = [(i, f"a {x} z") for i, x in enumerate(tokens.values())] + [(9, "hex " + "0f" * 2_500_000)]
+    got = {r["doc_id"]: r for r in S.find_secrets(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got[9]["spans"] == "hex:4:5000004"
+    for i, x in docs:
+        base = S.base_spans(x)
+        log_p = [S.battery(x[a:b]) for a, b in S.pieces(x, base)]
+        assert sum(got[i][f"n_{k}"] for k in S.KINDS) == len(base) and got[i]["n_random"] <= sum(p is not None for p in log_p)
+    assert got[0]["spans"] == f"random:2:{2 + 4000}"
+
+
+@pytest.mark.parametrize(("n", "k", "p"), [(10, 0, 0.12), (10, 1, 0.12), (10, 10, 0.12), (40, 3, 0.12), (40, 30, 0.12), (900, 108, 0.12), (900, 400, 0.12)])
+def test_binomial_tail(n, k, p):
+    want = sum(math.comb(n, j) * p**j * (1 - p) ** (n - j) for j in range(k, n + 1))
+    assert math.isclose(S.log_binomial_tail(n, k, p), math.log(want), rel_tol=1e-9, abs_tol=1e-9)
