@@ -14,8 +14,9 @@ each vector, how many links it found and one edge of a spanning forest of its li
 is linear in a block. Copies (equal vectors of a label) are one vector with a count before that.
 
 Defined results: a null label, a null or empty vector, zero vectors, and vectors with null or non-finite components link with
-nothing; vectors of different length don't link; rows that repeat an id count as other vectors, and `kept` is then the
-same for all of them.
+nothing; vectors of different length don't link; rows that repeat an id count as other vectors, each with its own links and
+component, and `kept` says whether the id is the component's smallest; a null id links with nothing; an empty table gives an empty result; other
+columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -102,8 +103,9 @@ def link_embeddings(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     good = F.coalesce((F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0), F.lit(False))
     able = F.col("id").isNotNull() & F.col("label").isNotNull() & good
 
-    classes = own.where(able).groupBy("label", "v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).cast("long").alias("copies"))
-    classes = written(classes.withColumn("dim", F.size("v")))
+    classes = own.where(able).groupBy("label", "v").agg(F.min("id").alias("least"), F.count(F.lit(1)).cast("long").alias("copies"))
+    # Classes have numbers of their own, given once as they are written: rows of one id with other vectors are other classes.
+    classes = written(classes.withColumn("dim", F.size("v")).withColumn("rep", F.monotonically_increasing_id()))
     blocks = classes.groupBy("label", "dim").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     dealt = classes.join(blocks, ["label", "dim"]).withColumn("b", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
 
@@ -140,8 +142,11 @@ def link_embeddings(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     found = written(pairs.groupBy("label", "dim", "i", "j").applyInArrow(work, "rep long, n long, root long"))
     comps = connected_components(found.select(F.col("rep").alias("u"), F.col("root").alias("v"))).withColumnRenamed("id", "rep")
     links = found.groupBy("rep").agg(F.sum("n").alias("n"))
-    info = classes.select("label", "v", "rep", "copies").join(links, "rep", "left").join(comps, "rep", "left")
-    info = written(info.select("label", "v", "copies", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")).where("n_links > 0"))
+    info = classes.select("label", "v", "rep", "least", "copies").join(links, "rep", "left").join(comps, "rep", "left")
+    info = written(info.select("label", "v", "least", "copies", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component")).where("n_links > 0"))
+    # A component has the smallest id of its classes.
+    first = written(info.groupBy("component").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("classes")))
+    info = written(join_skewed(info, first, ["component"], "classes", info.count()).select("label", "v", "copies", "n_links", "component_id"))
     out = join_skewed(own, info, ["label", "v"], "copies", own.count())
     n, c = F.when(able, F.coalesce("n_links", F.lit(0))).otherwise(F.lit(0)), F.when(able, F.coalesce("component_id", "id")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(id_col), n.cast("long").alias("n_links"), c.alias("component_id"), F.col("id").eqNullSafe(c).alias("kept"))

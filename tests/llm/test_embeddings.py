@@ -54,6 +54,22 @@ def test_empty_and_repeated_ids(spark):
     assert sorted((tuple(r) for r in got.collect()), key=str) == sorted([(1, 1, 1, True), (1, 1, 1, True), (2, 0, 2, True), (None, 0, None, True)], key=str)
 
 
+def test_repeated_ids_with_other_vectors(spark):
+    """Rows of one id are vectors of their own: each row is given a number, compared by it, and takes the smallest id of the rows it reaches."""
+    rows = [(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [1.0, 0.01], 0), (3, [1.0, 0.02], 0)]
+    got = sorted(tuple(r) for r in link_embeddings(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == [(1, 0, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False)]
+    rows = [(i // 3, *rest) for i, *rest in vectors(120)[:120]] + [(None, [1.0] * 12, 0)]
+    numbered = brute([(k, v, x) for k, (i, v, x) in enumerate(rows) if i is not None])
+    at = {k: root for k, _, root, _ in numbered}
+    least = {}
+    for k, root in at.items():
+        least[root] = min(least.get(root, 10**9), rows[k][0])
+    want = [(rows[k][0], n, least[at[k]], rows[k][0] == least[at[k]]) for k, n, *_ in numbered] + [(None, 0, None, True)]
+    got = [tuple(r) for r in link_embeddings(spark.createDataFrame(rows, SCHEMA).repartition(3), block=16).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 @pytest.mark.parametrize("dim", [16, 64, 384])
 def test_bounds_lose_nothing_and_decide_most(dim):
     r = np.random.default_rng(dim)

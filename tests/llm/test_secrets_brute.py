@@ -165,7 +165,7 @@ def test_very_long_runs_through_the_query(spark):
     assert got[0]["spans"] == f"random:2:{2 + 4000}"
 
 
-@pytest.mark.parametrize(("n", "k", "p"), [(10, 0, 0.12), (10, 1, 0.12), (10, 10, 0.12), (40, 3, 0.12), (40, 30, 0.12), (900, 108, 0.12), (900, 400, 0.12)])
+@pytest.mark.parametrize(("n", "k", "p"), [(10, 0, 0.12), (10, 1, 0.12), (10, 10, 0.12), (40, 3, 0.12), (40, 30, 0.12), (900, 108, 0.12), (900, 190, 0.12)])
 def test_binomial_tail(n, k, p):
     want = sum(math.comb(n, j) * p**j * (1 - p) ** (n - j) for j in range(k, n + 1))
     assert math.isclose(S.log_binomial_tail(n, k, p), math.log(want), rel_tol=1e-9, abs_tol=1e-9)
