@@ -67,12 +67,21 @@ def join_skewed(left: DataFrame, right: DataFrame, keys: list[str], weight: str,
     return left.join(hot, keys).unionByName(left.join(hot, keys, "left_anti").join(cold, keys, "left"))
 
 
-def maybe_in(left: DataFrame, ids: DataFrame, id_col: str = "id", blocks: int = 1024) -> DataFrame:
+#: Rows of 4 KB that a bitmap of ids may have: 64 MB, some eight bits for each of 64 million ids.
+BITMAP_ROWS, BITS_EACH = 16_384, 8
+
+
+def maybe_in(left: DataFrame, ids: DataFrame, id_col: str = "id", most: int = BITMAP_ROWS) -> DataFrame:
     """left with a column `maybe`: false only for rows whose id is not in ids.
 
-    A bitmap of hashed ids, of at most `blocks` rows of 4 KB whatever the number of ids, is broadcast, so left is not
-    shuffled; an exact join of what is left follows where it matters.
+    A bitmap of hashed ids, with BITS_EACH or more bits for each, is broadcast, so left is not shuffled; an exact join of what is left
+    follows where it matters. Where that takes more than `most` rows of 4 KB, left is joined by id and `maybe` is exact.
     """
+    n = ids.count()
+    blocks = max(16, 1 << (n * BITS_EACH // 32768).bit_length())
+    if blocks > most:
+        told = ids.select(id_col).distinct().withColumn("maybe", F.lit(True))
+        return left.join(told, id_col, "left").withColumn("maybe", F.coalesce("maybe", F.lit(False)))
     spot = lambda: F.pmod(F.xxhash64(F.col(id_col)), F.lit(blocks * 32768))
     maps = ids.select(F.floor(spot() / 32768).alias("_block"), (spot() % 32768).alias("_bit")).groupBy("_block").agg(F.bitmap_construct_agg("_bit").alias("_map"))
     marked = left.withColumn("_block", F.floor(spot() / 32768)).withColumn("_bit", spot() % 32768).join(F.broadcast(maps), "_block", "left")
@@ -93,8 +102,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
         if not e.take(1) or (not heads.where("n > 1").take(1) and not e.join(e.select(F.col("v").alias("u")).distinct(), "u", "left_semi").take(1)):
             break
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        # The centre of a big component has as many rows as neighbours, so its minimum is broadcast.
+        large = join_skewed(both.where("v > u"), least, ["u"], "n", 2 * e.count()).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())

@@ -209,11 +209,21 @@ def whole_sets(source: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     return written(texts.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, e array<long>"))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The rows of pairs (u, v, and more) whose sets link."""
-    both = pairs.join(sets.select(F.col("id").alias("u"), F.col("e").alias("a")), "u").join(sets.select(F.col("id").alias("v"), F.col("e").alias("b")), "v")
+def verified(pairs: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+    """The rows of written pairs (u, v, and more) whose sets link.
+
+    An id in many pairs, as a pivot's v is, has its partners dealt into blocks of about `block`, and its set goes once to each of them.
+    """
+    rows, whole = pairs, sets
+    for side, e in (("u", "a"), ("v", "b")):
+        many = pairs.groupBy(side).agg(F.count(F.lit(1)).alias("_m")).where(F.col("_m") > block).select(F.col(side).alias("id"), F.ceil(F.col("_m") / block).cast("int").alias("_parts"))
+        many = fit_broadcast(written(many))
+        own = whole.join(many, "id", "left").select(F.col("id").alias(side), F.col("e").alias(e), F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)).alias("_part"))
+        other = "v" if side == "u" else "u"
+        rows = rows.join(many.withColumnRenamed("id", side), side, "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(other), F.col("_parts")).cast("int"), F.lit(0)))
+        rows = rows.join(own, [side, "_part"]).drop("_part", "_parts")
     shared = F.size(F.array_intersect("a", "b"))
-    return both.where(100 * shared >= percent * (F.size("a") + F.size("b") - shared)).select(*pairs.columns)
+    return rows.where(100 * shared >= percent * (F.size("a") + F.size("b") - shared)).select(*pairs.columns)
 
 
 def jaccard_components(
@@ -237,9 +247,9 @@ def jaccard_components(
 
     # 2. Light: a key is a star around the smallest id of its sets of the smaller size.
     keys = reps.where(F.size("keys") > 0).select("id", F.explode("keys").alias("key"))
-    keys = keys.select("id", F.expr("substring(key, 1, 16)").alias("key"), (F.expr("substring(key, 17, 1)") == F.lit(b"\1")).alias("small"))
+    keys = written(keys.select("id", F.expr("substring(key, 1, 16)").alias("key"), (F.expr("substring(key, 17, 1)") == F.lit(b"\1")).alias("small")))
     stars = keys.groupBy("key").agg(F.min(F.when(F.col("small"), F.col("id"))).alias("v"), F.count(F.lit(1)).alias("m")).where("m > 1 and v is not null")
-    light_links = keys.join(stars, "key").where("id <> v").select(F.col("id").alias("u"), "v")
+    light_links = join_skewed(keys, written(stars), ["key"], "m", keys.count()).where("id <> v").select(F.col("id").alias("u"), "v")
 
     # 3. Heavy: pairs of the short lists; the long ones are kept.
     lists = reps.where(F.size("prefix") > 0).select("id", "n", "rare", F.posexplode("prefix").alias("pos", "e"))

@@ -9,8 +9,10 @@ _BASE = 0x100000001B3
 _space = np.zeros(256, bool)
 _space[[32, *range(9, 14)]] = True
 _as_is = np.arange(1, 257, dtype=np.uint64)
-_lower = _as_is.copy()
-_lower[65:91] += 32
+_low_byte = np.arange(256, dtype=np.uint8)
+_low_byte[65:91] += 32
+_mask = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_PLACE = np.uint64(0xC2B2AE3D27D4EB4F)
 _powers = np.ones(1, np.uint64)
 _inverse = np.ones(1, np.uint64)
 
@@ -40,11 +42,25 @@ def hashes_of(data: np.ndarray, start: np.ndarray, end: np.ndarray, value: np.nd
 
 
 def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """data: bytes of texts. The hash of each word, A-Z lower-cased, and where it starts."""
+    """data: bytes of texts. The hash of each word, A-Z lower-cased, and where it starts.
+
+    A word is lanes of eight bytes; each is mixed with its place before they are added, so the hash is no polynomial of the bytes
+    and words of one pattern don't cancel.
+    """
     space = _space[data]
     edge = np.diff(np.concatenate([[1], space, [1]]).astype(np.int8))
     start, end = np.nonzero(edge == -1)[0], np.nonzero(edge == 1)[0]
-    return hashes_of(data, start, end, _lower), start
+    if not len(start):
+        return np.zeros(0, np.uint64), start
+    size = end - start
+    lanes = (size + 7) // 8
+    first = np.cumsum(lanes) - lanes
+    word = np.repeat(np.arange(len(start)), lanes)
+    k = np.arange(len(word)) - first[word]
+    eight = np.lib.stride_tricks.sliding_window_view(np.concatenate([_low_byte[data], np.zeros(8, np.uint8)]), 8)
+    lane = eight[start[word] + 8 * k].view("<u8").reshape(-1) & _mask[np.minimum(size[word] - 8 * k, 8)]
+    lane = mix(lane * _ODD + (k + 1).astype(np.uint64) * _PLACE)
+    return mix(np.add.reduceat(lane, first) + size.astype(np.uint64) * _ODD), start
 
 
 def shingle_sets(texts: list[bytes], words: int = 5) -> list[np.ndarray]:

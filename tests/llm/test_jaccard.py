@@ -6,8 +6,11 @@ import numpy as np
 import pytest
 from test_operators import SCHEMA, components
 
-from strandline.llm.common import shared_dir
-from strandline.llm.jaccard import LARGEST_LIGHT, boundary, drop_near, jaccard_components, subset_keys
+from pyspark.sql import functions as F
+
+from strandline.llm.common import maybe_in, shared_dir
+from strandline.llm.jaccard import LARGEST_LIGHT, boundary, drop_near, jaccard_components, subset_keys, verified
+from strandline.llm.shingles import word_hashes
 
 PASSAGE = [f"p{i}" for i in range(60)]
 
@@ -111,3 +114,36 @@ def test_boundary():
 
 def test_shared_folder(spark):
     assert shared_dir(spark).startswith("file:")
+
+
+def test_words_of_one_pattern_do_not_collide(spark):
+    """The Thue-Morse word and its complement have equal hashes under any polynomial modulo a power of two."""
+    word = "".join("ab"[bin(k).count("1") % 2] for k in range(1024))
+    other = word.translate({97: "b", 98: "a"})
+    docs = [(1, word, None, None, 1), (2, other, None, None, 1), (3, word.upper(), None, None, 1), (4, f"{word} x y z w v", None, None, 1), (5, f"{other} x y z w v", None, None, 1)]
+    got = {tuple(r) for r in jaccard_components(spark.createDataFrame(docs, SCHEMA)).collect()}
+    assert got == {(1, 1, 1), (2, 1, 2), (3, 1, 1), (4, 2, 4), (5, 2, 5)}
+
+
+def test_word_hashes_tell_words_apart():
+    r = random.Random(4)
+    words = list({"".join(r.choice("ab") for _ in range(r.randrange(1, 40))) for _ in range(4000)} | {"abcdefgh" * k for k in range(1, 9)} | {"a" * k for k in range(1, 80)})
+    h, start = word_hashes(np.frombuffer(" ".join(words).encode(), np.uint8))
+    assert len(set(h.tolist())) == len(words) == len(start)
+    again, _ = word_hashes(np.frombuffer("\n".join(w.upper() for w in words).encode(), np.uint8))
+    assert (h == again).all() and not len(word_hashes(np.frombuffer(b" \n", np.uint8))[0])
+
+
+@pytest.mark.parametrize("most", [16, 1 << 14])
+def test_maybe_in_has_no_false_no(spark, most):
+    ids = spark.range(0, 200_000, 2)
+    got = maybe_in(spark.range(200_000), ids, most=most).groupBy((F.col("id") % 2).alias("odd"), "maybe").count().collect()
+    n = {(r["odd"], r["maybe"]): r["count"] for r in got}
+    assert n[0, True] == 100_000 and n.get((1, True), 0) < (1 if most == 16 else 20_000)
+
+
+def test_an_id_in_many_pairs_is_verified_by_blocks(spark):
+    sets = spark.createDataFrame([(k, list(range(k % 3, 10 + k % 3))) for k in range(50)], "id long, e array<long>")
+    pairs = spark.createDataFrame([(k, 0) for k in range(1, 50)] + [(49, k) for k in range(1, 49)], "u long, v long")
+    want = {(u, v) for u, v in pairs.collect() if 100 * (10 - abs(u % 3 - v % 3)) >= 80 * (10 + abs(u % 3 - v % 3))}
+    assert {tuple(r) for r in verified(pairs, sets, 80, block=4).collect()} == want
