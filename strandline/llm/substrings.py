@@ -1,25 +1,27 @@
-"""Repeated byte strings by bucket-pointer refinement.
+"""Repeated byte strings: initial buckets by 16-grams, refined by the buckets at later offsets.
 
-A byte goes if it lies in a string of LENGTH bytes that also starts in a document with a smaller id. Strings are put in order only as
-far as that needs: positions are in buckets by their first bytes, and a bucket is refined by the bucket identifiers at later
-offsets, each level made of the one before: 8 bytes as they are, 16 = (8, 8 later), 32 = (16, 16 later), 50 = (32, 18 later). An
-identifier is a hash of its two parts, so all executors agree on it without a sort; a bucket is refined where its rows meet.
-
-Not all positions are sent. The LENGTH-byte string at s is in the bucket of its anchor, the least 16-byte identifier within it; strings
-that are equal have equal anchors. Neighbouring strings with one anchor are a unit, about 18 strings long.
+A byte goes if it lies in a string of LENGTH bytes that also starts in a document with a smaller id. The initial bucket of a string
+is its anchor, the least 16-gram in it (by hash); strings that are equal have equal anchors. Neighbouring strings with one anchor are a unit,
+about 18 strings long, so not all positions are sent.
 
 1. Units are dealt by anchor. An anchor in one document only is done with. A unit whose whole text is in a smaller document is
    a copy: all its strings are. What is left of anchors shared by documents with different units is open.
-2. The texts of open units, about 70 bytes each, are dealt by anchor. Their strings' identifiers are refined there, and the
-   strings that a smaller document has too are marked. The strings of an anchor with more than HOT open units are dealt by their own
-   identifiers in place of their texts by anchor, so a passage that many documents share in part is spread over all buckets.
+2. The texts of open units, about 70 bytes each, are dealt by anchor, and their buckets are refined by pointers: all positions are
+   sorted by 8 bytes and numbered by bucket; buckets of 16 bytes are those of pairs (own number, number 8 later), of 32 bytes pairs of these
+   (own, 16 later), and of LENGTH pairs of these (own, 18 later), so each sort reuses the numbers of the one before. Strings of a bucket
+   are equal, with no hash between; those that a smaller document has too are marked. The strings of an anchor with more than
+   HOT open units are dealt by a 64-bit identifier of their own in place of their texts by anchor, so a passage that many documents
+   share in part is spread over all buckets.
 3. Each document's marks are joined into runs.
 
-Rows go in packed batches, one for each bucket of the hash, so a frequent passage is spread over as many rows as there are
-batches and is one unit in each document; no pairs are made. The texts are shuffled once, by id.
+Texts are worked on in parts of about CHUNK bytes, whatever their length, with about 50 bytes of memory for each byte of a part. Rows
+go in packed batches, one for each bucket of the hash, so a frequent passage is spread over as many rows as there are batches and is
+one unit in each document; no pairs are made. The texts are shuffled once, by id.
 
 Defined results: null text is empty; shorter texts than LENGTH are kept whole and match nothing; rows with a null id are kept
-whole and match nothing; rows that repeat an id are to repeat its text as well. Ids are integers.
+whole and match nothing; rows that repeat an id are rows of their own, which match those of smaller ids and not each other (marks are kept by id
+and, where an id has several texts, by a hash of the text); an empty table gives an empty result; other columns are not read, whatever
+their names. Ids are integers.
 """
 
 from __future__ import annotations
@@ -31,12 +33,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_batches, text_of, written
+from .common import maybe_in, text_batches, text_of, written
 from .shingles import mix
 from .tokens import byte_batches, rows_of
 
 LENGTH, GRAM = 50, 16
-CHUNK = 1 << 22
+CHUNK = 1 << 19
 #: Open units an anchor may have in a bucket before its strings are dealt one by one.
 HOT = 1 << 12
 COPY, OPEN, OFTEN = 0, 1, 2
@@ -59,10 +61,9 @@ def strings50(b16: np.ndarray, s: np.ndarray) -> np.ndarray:
 
 
 class Units:
-    """The units of some texts. doc: the text of each; s0, s1: first and last string, as an offset in its text; anchor, key: identifiers; at: unit number within the text."""
+    """The units of some parts (text, offset in it, bytes). doc: the text of each; s0, s1: first and last string, as an offset in its text; anchor, key: identifiers; at: unit number within the text, where `before` has how many each text had so far."""
 
-    def __init__(self, texts: list[bytes]) -> None:
-        parts = [(d, k, x[k : k + CHUNK + LENGTH - 1]) for d, x in enumerate(texts) if len(x) >= LENGTH for k in range(0, len(x) - LENGTH + 1, CHUNK)]
+    def __init__(self, parts: list[tuple[int, int, bytes]], before: dict[int, int]) -> None:
         size = np.array([len(x) for *_, x in parts], np.int64)
         begin = np.concatenate([[0], np.cumsum(size)])
         self.raw = b"".join(x for *_, x in parts)
@@ -83,13 +84,30 @@ class Units:
         self.s0, self.s1 = self.from_ + self.shift, self.to + self.shift
         self.anchor = self.b16[own[first]]
         self.key = mix(self.b50(self.from_) * _A + self.b50(self.to)) + (self.to - self.from_).astype(np.uint64)
-        start = np.searchsorted(self.doc, self.doc)
-        self.at = np.arange(len(self.doc)) - start
+        self.docs, self.begins, counts = np.unique(self.doc, return_index=True, return_counts=True)
+        self.at = np.arange(len(self.doc)) - np.repeat(self.begins - [before.get(d, 0) for d in self.docs.tolist()], counts)
+        for d, n in zip(self.docs.tolist(), counts.tolist()):
+            before[d] = before.get(d, 0) + n
 
     def b50(self, s: np.ndarray) -> np.ndarray:
         return strings50(self.b16, s)
 
 
+def units_of(texts: list[bytes]):
+    """The units of the texts, about CHUNK bytes at a time."""
+    before: dict[int, int] = {}
+    held, size = [], 0
+    for d, x in enumerate(texts):
+        for k in range(0, len(x) - LENGTH + 1, CHUNK):
+            held.append((d, k, x[k : k + CHUNK + LENGTH - 1]))
+            size += len(held[-1][2])
+            if size >= CHUNK:
+                yield Units(held, before)
+                held, size = [], 0
+    if held:
+        yield Units(held, before)
+
+
 def planes(x: np.ndarray, n: int) -> bytes:
     """The n low bytes of integers, each byte's plane by itself, so that what is alike lies together for compression."""
     return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n].T).tobytes()
@@ -102,7 +120,7 @@ def unplanes(x: bytes, n: int) -> np.ndarray:
 
 
 def deal(hash_: np.ndarray, buckets: int, columns: list[tuple[np.ndarray, int]]):
-    """Rows (bucket, first id, packed columns) by the top bits of hash_; the first column holds ids and is packed as steps."""
+    """Rows (bucket, first id, packed columns) by the top bits of hash_; the first column holds ids and is packed as steps, one of width 0 is nothing where it is all zero."""
     b = (hash_ >> np.uint64(64 - buckets.bit_length() + 1)).astype(np.int64) if buckets > 1 else np.zeros(len(hash_), np.int64)
     order = np.argsort(b, kind="stable")
     edge = np.searchsorted(b[order], np.arange(buckets + 1))
@@ -110,12 +128,15 @@ def deal(hash_: np.ndarray, buckets: int, columns: list[tuple[np.ndarray, int]])
         at = order[edge[k] : edge[k + 1]]
         if len(at):
             ids = columns[0][0][at]
-            yield k, int(ids[0]), planes(np.diff(ids, prepend=ids[:1]).astype(np.uint64), 8), *[planes(c[at], n) for c, n in columns[1:]]
+            yield k, int(ids[0]), planes(np.diff(ids, prepend=ids[:1]).astype(np.uint64), 8), *[planes(c[at], n or 8) if n or c[at].any() else b"" for c, n in columns[1:]]
 
 
 def gathered(t: pa.Table, widths: list[int]) -> list[np.ndarray]:
     ids = [np.cumsum(unplanes(x, 8)).astype(np.int64) + f for f, x in zip(t["first"].to_pylist(), t["ids"].to_pylist())]
-    return [np.concatenate(ids)] + [np.concatenate([unplanes(x, n) for x in t[f"c{i}"].to_pylist()]) for i, n in enumerate(widths)]
+    out = [np.concatenate(ids)]
+    for i, n in enumerate(widths):
+        out.append(np.concatenate([unplanes(x, n or 8) if x else np.zeros(len(d), np.uint64) for x, d in zip(t[f"c{i}"].to_pylist(), ids)]))
+    return out
 
 
 def _edges(*cols: np.ndarray) -> np.ndarray:
@@ -125,13 +146,19 @@ def _edges(*cols: np.ndarray) -> np.ndarray:
     return new
 
 
-def _lists(ids: np.ndarray, *cols: np.ndarray):
-    """ids with, for each, the values of cols as lists."""
-    order = np.argsort(ids, kind="stable")
-    ids = ids[order]
-    first = np.nonzero(_edges(ids))[0] if len(ids) else np.zeros(0, np.int64)
-    offsets = pa.array(np.concatenate([first, [len(ids)]]), pa.int32())
-    return pa.array(ids[first]), *[pa.ListArray.from_arrays(offsets, pa.array(c[order].astype(np.int32))) for c in cols]
+def _runs(doc: np.ndarray, tag: np.ndarray, at: np.ndarray) -> pa.Table:
+    """The places of each document's row as runs: id, tag, starts, sizes."""
+    order = np.lexsort((at, tag, doc))
+    doc, tag, at = doc[order], tag[order], at[order]
+    new = _edges(doc, tag, at) if len(at) else np.zeros(0, bool)  # a row that is there twice is marked twice
+    doc, tag, at = doc[new], tag[new], at[new]
+    first = np.nonzero(_edges(doc, tag, at - np.arange(len(at))))[0] if len(at) else np.zeros(0, np.int64)
+    size = np.diff(np.concatenate([first, [len(at)]]))
+    doc, tag, at = doc[first], tag[first], at[first]
+    row = np.nonzero(_edges(doc, tag))[0] if len(at) else first
+    offsets = pa.array(np.concatenate([row, [len(at)]]), pa.int32())
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(c.astype(np.int32))) for c in (at, size)]
+    return pa.Table.from_arrays([pa.array(doc[row]), pa.array(tag[row].view(np.int64)), *lists], names=["id", "tag", "starts", "sizes"])
 
 
 def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
@@ -139,98 +166,136 @@ def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kinds.get(k, pa.binary())) for c, k in zip(zip(*rows) if rows else [[]] * len(names), names)], names)
 
 
+def _tagged(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, tag, text: the tag is 0, but for ids with several texts a hash of the text."""
+    h = F.xxhash64(F.col("text"))
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.encode(text_of(text_col), "UTF-8").alias("text"))
+    several = written(rows.where("id is not null").groupBy("id").agg(F.min(h).alias("a"), F.max(h).alias("b")).where("a <> b").select("id"))
+    if not several.take(1):
+        return rows.select("id", F.lit(0).cast("long").alias("tag"), "text")
+    return maybe_in(rows, several).select("id", F.when(F.col("maybe"), h).otherwise(F.lit(0)).cast("long").alias("tag"), "text")
+
+
 def repeated_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = 1 << 23, hot: int = HOT) -> DataFrame:
     """One row for each row of df: id_col, n_bytes, n_removed, n_spans, kept_sha256, spans (removed runs: start and end in bytes)."""
     text_batches(df.sparkSession)
-    source = df.select(F.col(id_col).cast("long").alias("id"), F.encode(text_of(text_col), "UTF-8").alias("text"))
+    source = _tagged(df, id_col, text_col)
     total = df.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
     buckets = 1 << max(5, min(20, (total // bucket_bytes).bit_length()))
+    keys = lambda part: (np.array([r[0] for r in part], np.int64), np.array([r[1] for r in part], np.int64).view(np.uint64))
 
     def send_units(batches):
-        for part in byte_batches((r for r in rows_of(batches) if r[0] is not None and len(r[1]) >= LENGTH), 1, 1 << 19):
-            u = Units([r[1] for r in part])
-            ids = np.array([r[0] for r in part], np.int64)[u.doc]
-            yield _batch(list(deal(u.anchor, buckets, [(ids, 8), (u.at, 4), (u.anchor, 4), (u.key, 7)])), ["bucket", "first", "ids", "c0", "c1", "c2"])
+        for part in byte_batches((r for r in rows_of(batches) if r[0] is not None and len(r[2]) >= LENGTH), 2, 1 << 19):
+            ids, tags = keys(part)
+            for u in units_of([r[2] for r in part]):
+                rows = deal(u.anchor, buckets, [(ids[u.doc], 8), (tags[u.doc], 0), (u.at, 4), (u.anchor, 4), (u.key, 7)])
+                yield _batch(list(rows), ["bucket", "first", "ids", "c0", "c1", "c2", "c3"])
 
     def refine_units(t: pa.Table) -> pa.Table:
-        doc, at, anchor, key = gathered(t, [4, 4, 7])
+        doc, tag, at, anchor, key = gathered(t, [0, 4, 4, 7])
         at, anchor = at.astype(np.int32), anchor.astype(np.uint32)
         # Anchors are refined in parts, so that a frequent one doesn't widen what is sorted at once beyond itself.
         parts = max(1, len(key) >> 18)
         found = [_refined(doc, at, anchor, key, np.nonzero(mix(anchor.astype(np.uint64)) % np.uint64(parts) == k)[0], hot) for k in range(parts)]
-        doc, at, kind = (np.concatenate(x) for x in zip(*found))
-        return pa.Table.from_arrays([pa.array(doc), pa.array(at * np.int32(4) + kind)], names=["id", "unit"])
+        row, kind = (np.concatenate(x) for x in zip(*found))
+        return pa.Table.from_arrays([pa.array(doc[row]), pa.array(tag[row].view(np.int64)), pa.array(at[row] * np.int32(4) + kind)], names=["id", "tag", "unit"])
 
-    packed = source.mapInArrow(send_units, "bucket int, first long, ids binary, c0 binary, c1 binary, c2 binary")
+    packed = source.mapInArrow(send_units, "bucket int, first long, ids binary, c0 binary, c1 binary, c2 binary, c3 binary")
     # A row for each unit that counts, four times its number and its kind (COPY, OPEN, OFTEN): their number goes with the bytes, that of (document, bucket) pairs doesn't.
-    told = packed.groupBy("bucket").applyInArrow(refine_units, "id long, unit int")
-    told = written(told.groupBy("id").agg(F.collect_list("unit").alias("units")))
-    joined = source.join(told, "id", "left")
+    told = packed.groupBy("bucket").applyInArrow(refine_units, "id long, tag long, unit int")
+    told = written(told.groupBy("id", "tag").agg(F.collect_set("unit").alias("units")))
+    joined = source.join(told, ["id", "tag"], "left")
 
     def send_strings(batches):
-        rows = ((i, x, np.array(u, np.int64)) for i, x, u in rows_of(batches) if u is not None)
-        for part in byte_batches((r for r in rows if (r[2] & 3 != COPY).any()), 1, 1 << 19):
-            u = Units([r[1] for r in part])
-            all_ids = np.array([r[0] for r in part], np.int64)
-            pick = _chosen(u, [_units(r[2], OPEN) for r in part])
-            ids, first, last = all_ids[u.doc[pick]], u.from_[pick], u.to[pick]
-            rows = deal(u.anchor[pick], buckets, [(ids, 8), (u.s0[pick], 5), (last - first + 1, 1), (np.arange(len(pick)), 4)])
-            out = [(*r[:-1], b"".join(u.raw[first[k] : last[k] + LENGTH] for k in unplanes(r[-1], 4).astype(np.int64))) for r in rows]
-            pick = _chosen(u, [_units(r[2], OFTEN) for r in part])
-            if len(pick):
-                n = u.to[pick] - u.from_[pick] + 1
-                unit = np.repeat(pick, n)
-                s = u.from_[unit] + np.arange(len(unit)) - np.repeat(np.cumsum(n) - n, n)
-                key = u.b50(s)
-                out += [(buckets + k, f, i, at, b"", x) for k, f, i, at, x in deal(key, buckets, [(all_ids[u.doc[unit]], 8), (s + u.shift[unit], 5), (key, 8)])]
-            yield _batch(out, ["bucket", "first", "ids", "c0", "c1", "text"])
+        rows = ((i, t, x, np.sort(np.array(u, np.int64))) for i, t, x, u in rows_of(batches) if u is not None)
+        for part in byte_batches((r for r in rows if (r[3] & 3 != COPY).any()), 2, 1 << 19):
+            ids, tags = keys(part)
+            open_, often = ([_units(r[3], kind) for r in part] for kind in (OPEN, OFTEN))
+            for u in units_of([r[2] for r in part]):
+                out, pick = [], _chosen(u, open_)
+                if len(pick):
+                    d, first, last = u.doc[pick], u.from_[pick], u.to[pick]
+                    rows = deal(u.anchor[pick], buckets, [(ids[d], 8), (tags[d], 0), (u.s0[pick], 5), (last - first + 1, 1), (u.anchor[pick], 4), (np.arange(len(pick)), 4)])
+                    out += [(*r[:-1], b"".join(u.raw[first[k] : last[k] + LENGTH] for k in unplanes(r[-1], 4).astype(np.int64))) for r in rows]
+                pick = _chosen(u, often)
+                if len(pick):
+                    n = u.to[pick] - u.from_[pick] + 1
+                    unit = np.repeat(pick, n)
+                    s = u.from_[unit] + np.arange(len(unit)) - np.repeat(np.cumsum(n) - n, n)
+                    key, d = u.b50(s), u.doc[unit]
+                    out += [(buckets + k, f, i, tag, at, b"", b"", x) for k, f, i, tag, at, x in deal(key, buckets, [(ids[d], 8), (tags[d], 0), (s + u.shift[unit], 5), (key, 8)])]
+                yield _batch(out, ["bucket", "first", "ids", "c0", "c1", "c2", "c3", "text"])
 
     def refine_strings(t: pa.Table) -> pa.Table:
         if t["bucket"][0].as_py() >= buckets:
-            (doc, at), key = gathered(t, [5]), np.concatenate([unplanes(x, 8) for x in t["text"].to_pylist()])
-            edge = np.arange(len(key) + 1)
-        else:
-            doc, at, n = gathered(t, [5, 1])
-            n = n.astype(np.int64)
-            edge = np.concatenate([[0], np.cumsum(n)])
-            key, row = np.empty(edge[-1], np.uint64), 0
-            for texts, count in _portions(t["text"], [len(x) for x in t["c1"].to_pylist()]):
-                b16, m = grams16(texts), n[row : row + count]
-                begin = np.concatenate([[0], np.cumsum(m + LENGTH - 1)])[:-1]
-                step = np.arange(int(m.sum())) - np.repeat(edge[row : row + count] - edge[row], m)
-                key[edge[row] : edge[row + count]] = strings50(b16, np.repeat(begin, m) + step)
-                row += count
-        # Refined in parts by identifier, so that what is sorted at once stays small.
-        parts = max(1, len(key) >> 19)
-        found = [_marked(doc, at, edge, key, np.nonzero(key % np.uint64(parts) == k)[0]) for k in range(parts)]
-        doc, at = (np.concatenate(x) for x in zip(*found))
-        order = np.lexsort((at, doc))
-        doc, at = doc[order], at[order]
-        new = np.nonzero(_edges(doc, at - np.arange(len(at))))[0] if len(at) else at
-        size = np.diff(np.concatenate([new, [len(at)]])).astype(np.int64)
-        ids, starts, sizes = _lists(doc[new], at[new], size)
-        return pa.Table.from_arrays([ids, starts, sizes], names=["id", "starts", "sizes"])
-
-    strings = joined.mapInArrow(send_strings, "bucket int, first long, ids binary, c0 binary, c1 binary, text binary")
-    marks = strings.groupBy("bucket").applyInArrow(refine_strings, "id long, starts array<int>, sizes array<int>")
-    marks = marks.groupBy("id").agg(F.collect_list(F.struct("starts", "sizes")).alias("x")).select("id", F.flatten("x.starts").alias("starts"), F.flatten("x.sizes").alias("sizes"))
+            (doc, tag, at), key = gathered(t, [0, 5]), np.concatenate([unplanes(x, 8) for x in t["text"].to_pylist()])
+            # In parts by identifier, so that what is sorted at once stays small.
+            parts = max(1, len(key) >> 19)
+            picks = (np.nonzero(key % np.uint64(parts) == k)[0] for k in range(parts))
+            row = np.concatenate([p[_later(key[p], doc[p])] for p in picks])
+            return _runs(doc[row], tag[row], at[row].astype(np.int64))
+        doc, tag, at, n, anchor = gathered(t, [0, 5, 1, 4])
+        at, n = at.astype(np.int64), n.astype(np.int64)
+        begin = np.cumsum(n + LENGTH - 1) - (n + LENGTH - 1)
+        data = np.frombuffer(b"".join(x.as_py() for x in t["text"]), np.uint8)
+        # In parts by anchor, the initial bucket.
+        parts = max(1, len(data) >> 19)
+        deal_ = (mix(anchor.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(deal_, kind="stable")
+        edge, found = np.searchsorted(deal_[order], np.arange(parts + 1)), []
+        for k in range(parts):
+            unit = order[edge[k] : edge[k + 1]]
+            if len(unit):
+                own, step = pointed(data, begin[unit], n[unit])
+                later = _later(own, np.repeat(doc[unit], n[unit]))
+                found.append((np.repeat(unit, n[unit])[later], step[later]))
+        unit, step = (np.concatenate(x) for x in zip(*found))
+        return _runs(doc[unit], tag[unit], at[unit] + step)
+
+    strings = joined.mapInArrow(send_strings, "bucket int, first long, ids binary, c0 binary, c1 binary, c2 binary, c3 binary, text binary")
+    marks = strings.groupBy("bucket").applyInArrow(refine_strings, "id long, tag long, starts array<int>, sizes array<int>")
+    marks = marks.groupBy("id", "tag").agg(F.collect_list(F.struct("starts", "sizes")).alias("x")).select("id", "tag", F.flatten("x.starts").alias("starts"), F.flatten("x.sizes").alias("sizes"))
 
     def cut(batches):
         for part in byte_batches(rows_of(batches), 1, 1 << 19):
             yield _cut(part)
 
-    out = joined.join(marks, "id", "left").select("id", "text", "units", "starts", "sizes")
+    out = joined.join(marks, ["id", "tag"], "left").select("id", "text", "units", "starts", "sizes")
     out = out.mapInArrow(cut, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:int,end:int>>")
     return out.select(F.col("id").cast(df.schema[id_col].dataType).alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")
 
 
-def _refined(doc: np.ndarray, at: np.ndarray, anchor: np.ndarray, key: np.ndarray, pick: np.ndarray, hot: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the units of pick, those that are copies of a smaller document's or open: document, unit number, kind."""
-    doc, at, anchor, key = doc[pick], at[pick], anchor[pick], key[pick]
-    if not len(doc):
-        return doc, at, np.zeros(0, np.int32)
-    order = np.lexsort((doc, key, anchor))
-    doc, at, anchor, key = doc[order], at[order], anchor[order], key[order]
+def pointed(data: np.ndarray, begin: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For units of n strings whose texts begin at these places of data: the bucket of each string among them, and its number in its unit."""
+    size = n + LENGTH - 1
+    local = np.cumsum(size) - size
+    text = np.concatenate([data[np.repeat(begin - local, size) + np.arange(int(size.sum()))], np.zeros(2 * LENGTH, np.uint8)])
+    wide = text.astype(np.uint64)
+    for k in (1, 2, 4):
+        wide = (wide[:-k] << np.uint64(8 * k)) | wide[k:]
+    number = np.unique(wide, return_inverse=True)[1]
+    for later in (8, 16):
+        pair = (number[:-later].astype(np.uint64) << np.uint64(32)) | number[later:].astype(np.uint64)
+        number = np.unique(pair, return_inverse=True)[1]
+    step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    s = np.repeat(local, n) + step
+    return (number[s].astype(np.uint64) << np.uint64(32)) | number[s + LENGTH - 32].astype(np.uint64), step
+
+
+def _later(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Places of those whose key a smaller document has too."""
+    order = np.lexsort((doc, key))
+    d, k = doc[order], key[order]
+    new = _edges(k) if len(k) else np.zeros(0, bool)
+    return order[d > d[np.nonzero(new)[0]][np.cumsum(new) - 1]]
+
+
+def _refined(doc: np.ndarray, at: np.ndarray, anchor: np.ndarray, key: np.ndarray, pick: np.ndarray, hot: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the units of pick, those that are copies of a smaller document's or open: place, kind."""
+    if not len(pick):
+        return pick, np.zeros(0, np.int32)
+    order = pick[np.lexsort((doc[pick], key[pick], anchor[pick]))]
+    doc, anchor, key = doc[order], anchor[order], key[order]
     new_anchor, new_unit = _edges(anchor), _edges(anchor, key)
     a, u = np.cumsum(new_anchor) - 1, np.cumsum(new_unit) - 1
     fa, fu = np.nonzero(new_anchor)[0], np.nonzero(new_unit)[0]
@@ -240,74 +305,50 @@ def _refined(doc: np.ndarray, at: np.ndarray, anchor: np.ndarray, key: np.ndarra
     open_ = ~copy & many & wide[a]
     often = np.add.reduceat(open_.astype(np.int64), fa)[a] > hot
     say = copy | open_
-    return doc[say], at[say], np.where(copy, COPY, np.where(often, OFTEN, OPEN)).astype(np.int32)[say]
-
-
-def _portions(texts: pa.ChunkedArray, counts: list[int], most: int = 1 << 19):
-    """texts joined up to about `most` bytes, with how many units they hold."""
-    held, size, n = [], 0, 0
-    for x, c in zip(texts, counts):  # one at a time out of Arrow
-        x = x.as_py()
-        held.append(x)
-        size, n = size + len(x), n + c
-        if size >= most:
-            yield b"".join(held), n
-            held, size, n = [], 0, 0
-    if held:
-        yield b"".join(held), n
-
-
-def _marked(doc: np.ndarray, at: np.ndarray, edge: np.ndarray, key: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Documents and places of those strings of pick that a smaller document has too."""
-    unit = np.searchsorted(edge, pick, side="right") - 1
-    d, k = doc[unit], key[pick]
-    order = np.lexsort((d, k))
-    d, k = d[order], k[order]
-    new = _edges(k) if len(k) else np.zeros(0, bool)
-    say = d > d[np.nonzero(new)[0]][np.cumsum(new) - 1]
-    chosen = order[say]
-    return d[say], at[unit[chosen]].astype(np.int64) + pick[chosen] - edge[unit[chosen]]
+    return order[say], np.where(copy, COPY, np.where(often, OFTEN, OPEN)).astype(np.int32)[say]
 
 
-def _units(told: list[int] | np.ndarray, kind: int) -> np.ndarray:
-    """The numbers of the units of a kind."""
-    x = np.sort(np.asarray(told, np.int64))
-    return x[x & 3 == kind] >> 2
+def _units(told: np.ndarray, kind: int) -> np.ndarray:
+    """The numbers of the units of a kind, rising as told is."""
+    return told[told & 3 == kind] >> 2
 
 
 def _chosen(u: Units, wanted: list[np.ndarray]) -> np.ndarray:
-    """Places in u of the unit numbers wanted of each text."""
-    docs = np.arange(len(wanted))
-    start = np.searchsorted(u.doc, docs)
-    return np.concatenate([start[d] + np.asarray(w, np.int64) for d, w in zip(docs, wanted)]) if wanted else np.zeros(0, np.int64)
+    """Places in u of the unit numbers wanted of each text, as far as u has them."""
+    out = [np.zeros(0, np.int64)]
+    for d, begin, end in zip(u.docs.tolist(), u.begins.tolist(), [*u.begins[1:].tolist(), len(u.doc)]):
+        first = u.at[begin]
+        w = wanted[d]
+        out.append(begin + w[np.searchsorted(w, first) : np.searchsorted(w, first + end - begin)] - first)
+    return np.concatenate(out)
 
 
 def _cut(part: list[tuple]) -> pa.RecordBatch:
-    copied = [(k, _units(u, COPY)) for k, (_, _, u, *_) in enumerate(part) if u is not None]
-    copied = [(k, w) for k, w in copied if len(w)]
-    u = Units([part[k][1] for k, _ in copied])
-    pick = _chosen(u, [w for _, w in copied])
-    marks: dict[int, list] = {}
-    docs, s0, s1 = u.doc[pick], u.s0[pick], u.s1[pick]
-    order = np.argsort(docs, kind="stable")
-    edge = np.searchsorted(docs[order], np.arange(len(copied) + 1))
-    for j, (k, _) in enumerate(copied):
-        at = order[edge[j] : edge[j + 1]]
-        marks[k] = [(s0[at], s1[at])]
+    copies = [np.zeros(0, np.int64) if u is None else _units(np.sort(np.array(u, np.int64)), COPY) for _, _, u, *_ in part]
+    spans: list[list] = [[] for _ in part]
+    some = [k for k, c in enumerate(copies) if len(c)]
+    for u in units_of([part[k][1] for k in some]):
+        pick = _chosen(u, [copies[k] for k in some])
+        for d in np.unique(u.doc[pick]).tolist():
+            at = pick[u.doc[pick] == d]
+            spans[some[d]].append((u.s0[at], u.s1[at] + LENGTH))
     rows = []
-    for k, (id_, text, _, starts, sizes) in enumerate(part):
-        spans = marks.get(k, [])
+    for (id_, text, _, starts, sizes), found in zip(part, spans):
         if starts:
-            x = np.array(starts)
-            spans = [*spans, (x, x + np.array(sizes) - 1)]
-        step = np.zeros(len(text) + 1, np.int32)
-        for a, b in spans:
-            np.add.at(step, a, 1)
-            np.add.at(step, b + LENGTH, -1)
-        gone = np.cumsum(step[:-1]) > 0
-        edge = np.nonzero(np.diff(np.concatenate([[0], gone, [0]]).astype(np.int8)))[0]
-        runs = list(zip(edge[::2].tolist(), edge[1::2].tolist()))
-        kept = text if not runs else np.frombuffer(text, np.uint8)[~gone].tobytes()
-        rows.append((id_, len(text), len(text) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), [{"start": a, "end": b} for a, b in runs]))
+            x = np.array(starts, np.int64)
+            found.append((x, x + np.array(sizes, np.int64) - 1 + LENGTH))
+        runs = []
+        if found:
+            a, b = (np.concatenate(x) for x in zip(*found))
+            order = np.argsort(a, kind="stable")
+            a, b = a[order], np.maximum.accumulate(b[order])
+            first = np.nonzero(np.concatenate([[True], a[1:] > b[:-1]]))[0]
+            runs = list(zip(a[first].tolist(), b[np.concatenate([first[1:] - 1, [len(a) - 1]])].tolist()))
+        view, sha, at = memoryview(text), hashlib.sha256(), 0
+        for a, b in runs:
+            sha.update(view[at:a])
+            at = b
+        sha.update(view[at:])
+        rows.append((id_, len(text), sum(b - a for a, b in runs), len(runs), sha.hexdigest(), [{"start": a, "end": b} for a, b in runs]))
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])

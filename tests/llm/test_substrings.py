@@ -2,10 +2,13 @@
 
 import hashlib
 import random
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 
-from strandline.llm.substrings import LENGTH, repeated_bytes
+from strandline.llm.substrings import CHUNK, LENGTH, repeated_bytes
 
 
 def brute(rows):
@@ -42,6 +45,59 @@ def test_as_brute_force(spark, seed, hot):
     assert {tuple(r)[:5] for r in got.collect()} == brute(rows)
 
 
+@pytest.mark.parametrize("hot", [1 << 12, 0])
+def test_repeated_ids(spark, hot):
+    """Rows of one id, with equal and with other texts, don't match each other, and each is marked by itself."""
+    rows = [(i // 3, x) for i, x in corpus(7) if i < 2000]
+    rows += [(1, "L" * 200 + "q" * 100), (2, "M" * 300), (2, "L" * 200 + "q" * 100), (3, "M" * 300), (2, "M" * 300), (5000, "own " * 90), (5000, "own " * 90), (5000, "M" * 60 + "own " * 90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as id", "2 as tag", "3 as units", "4 as bucket", "5 as maybe").repartition(4)
+    got = sorted(tuple(r)[:5] for r in repeated_bytes(df, bucket_bytes=64, hot=hot).collect())
+    assert got == sorted(plain(rows)) and len([g for g in got if g[0] == 2 and g[2] == 0]) >= 2
+
+
+def plain(rows):
+    """As brute, row by row: a list."""
+    least = {}
+    texts = [(i, (t or "").encode()) for i, t in rows]
+    for i, x in texts:
+        for s in range(len(x) - LENGTH + 1):
+            least[x[s : s + LENGTH]] = min(least.get(x[s : s + LENGTH], i), i)
+    for i, x in texts:
+        gone = [False] * len(x)
+        for s in range(len(x) - LENGTH + 1):
+            if least[x[s : s + LENGTH]] < i:
+                gone[s : s + LENGTH] = [True] * LENGTH
+        kept = bytes(c for c, g in zip(x, gone) if not g)
+        yield i, len(x), sum(gone), sum(g and not h for g, h in zip(gone, [False, *gone])), hashlib.sha256(kept).hexdigest()
+
+
+def test_long_texts_are_worked_on_in_parts(spark):
+    """Texts of several CHUNKs with passages across their edges; and the memory of one of 50 MB."""
+    r = random.Random(3)
+    noise = lambda n: "".join(r.choices("abcdefgh ", k=n))
+    passage = noise(400)
+    first = noise(CHUNK - 130) + passage + noise(CHUNK - 600) + passage + "z" * 3000
+    rows = [(1, "z" * 70 + passage[100:]), (2, first), (3, first[CHUNK - 200 :] + noise(300)), (4, noise(90) + passage)]
+    got = repeated_bytes(spark.createDataFrame(rows, "doc_id long, text string").repartition(2))
+    assert {tuple(x)[:5] for x in got.collect()} == set(plain(rows))
+
+
+def test_memory_of_a_long_text():
+    code = """
+import resource, numpy as np
+from strandline.llm.substrings import units_of, _cut
+text = np.random.default_rng(1).integers(97, 123, 50_000_000).astype(np.uint8).tobytes()
+before, told = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, []
+for u in units_of([text]):
+    told.append(u.at[::3] * 4)
+told = np.concatenate(told)
+assert _cut([(1, text, told, None, None)])["n_removed"][0].as_py() > 10_000_000
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300, cwd=Path(__file__).resolve().parents[2])
+    assert int(out.stdout) < 1_000_000, out  # kilobytes
+
+
 def test_empty_and_null_ids(spark):
     assert repeated_bytes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     rows = spark.createDataFrame([(None, "q" * 80), (3, "q" * 80), (4, "q" * 80)], "doc_id long, text string")
