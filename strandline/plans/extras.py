@@ -10,6 +10,7 @@ from strandline.operators import signals as G
 from strandline.operators.events import non_overlapping
 from strandline.operators.labels import bins, close_barriers
 from strandline.operators.paths import as_of, in_reach
+from strandline.operators.thresholds import find_threshold
 from strandline.sources.tables import BARS, TICKS
 
 from . import sqltext as S
@@ -146,6 +147,32 @@ def e6(t):
     return n.groupBy("symbol").agg(F.min_by("thr", F.struct(F.round(F.abs(F.col("per_month") - 12), 9).alias("a"), "thr")).alias("thr"))
 
 
+def _search_sql(lower: bool) -> str:
+    """Every value of the feature is tried as a threshold, bar by bar."""
+    sign = "-" if lower else ""
+    return (
+        _ZS
+        + f""", x as (select symbol, bar_id, time, {sign}round(z, 6) as x from step2),
+a as (select symbol, floor((epoch_us(max(time)) - epoch_us(min(time))) / 86400e6) / 30 * 12 as target, quantile_cont(x, 0.5) as median from x group by symbol),
+th as (select distinct x.symbol, x.x as thr from x join a on a.symbol = x.symbol where x.x >= a.median),
+g as (select th.symbol, th.thr, x.bar_id, coalesce(x.x >= th.thr and lag(x.x) over (partition by th.symbol, th.thr order by x.bar_id) < th.thr, false)::int as sg from th join x on x.symbol = th.symbol),
+q as (select *, sum(sg) over w as near, count(*) over w as c from g window w as (partition by symbol, thr order by bar_id rows between 3 preceding and 1 preceding)),
+n as (select symbol, thr, sum(case when sg = 1 and near = 0 and c = 3 then 1 else 0 end)::bigint as signals from q group by symbol, thr),
+r as (select n.*, a.target, row_number() over (partition by n.symbol order by round(abs(signals - a.target), 9), thr) as k from n join a on a.symbol = n.symbol where a.target > 0)
+select symbol, {sign}thr as threshold, signals, target from r where k = 1"""
+    )
+
+
+@query("e6_threshold_search", _search_sql(False))
+def e6_search(t):
+    return find_threshold(_z(t).withColumn("z", F.round("z", 6)), "z", 12)
+
+
+@query("e6_threshold_search_lower", _search_sql(True))
+def e6_search_lower(t):
+    return find_threshold(_z(t).withColumn("z", F.round("z", 6)), "z", 12, lower=True)
+
+
 @query("p7_own_interval", EV.replace("bar_id + 10 as i1", "bar_id + 3 + bar_id % 9 as i1") + " select e.symbol, e.i0, count(*) as n, max(b.high) as top, round(avg(b.close), 6) as mean from ev e join bars b on b.symbol = e.symbol and b.bar_id between e.i0 and e.i1 group by e.symbol, e.i0")
 def p7(t):
     e = falling(t).withColumn("i1", F.col("i0") + 3 + F.col("i0") % 9)
