@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.sources.scratch import cut
+
+from .blocks import BLOCK, before_blocks, block_of, within
+
 
 def number_bars(df: DataFrame, key: str = "symbol", time: str = "time") -> DataFrame:
     """Adds bar_id: 0, 1, ... in time order for each key."""
@@ -20,11 +24,24 @@ def hourly_bars(ticks: DataFrame, unit: str = "hour") -> DataFrame:
     return bars
 
 
-def tick_rule(ticks: DataFrame) -> DataFrame:
-    """Adds up: 1, 0 or -1 by the last price change that was not null; the first trade of a symbol has none. Zero changes carry on."""
-    w = Window.partitionBy("symbol").orderBy("time", "id")
-    change = F.signum(F.col("price") - F.lag("price").over(w))
-    return ticks.withColumn("_c", F.when(change != 0, change)).withColumn("up", F.last("_c", ignorenulls=True).over(w)).drop("_c")
+def _ruled(ticks: DataFrame, block: str | int) -> DataFrame:
+    """ticks with _block, up, and first: whether a trade is its symbol's first."""
+    by, at = ["symbol"], F.struct("time", "id")
+    t = before_blocks(ticks.withColumn("_block", block_of(ticks, "time", block)), by, "_block", lasts={"_price": (F.col("price"), at)})
+    w = within(by, "_block", "time", "id")
+    t = t.withColumn("_n", F.row_number().over(w)).withColumn("_was", F.when(F.col("_n") == 1, F.col("_price")).otherwise(F.lag("price").over(w)))
+    change = F.signum(F.col("price") - F.col("_was"))
+    t = t.withColumn("_c", F.when(change != 0, change)).withColumn("first", (F.col("_n") == 1) & F.col("_price").isNull()).drop("_n", "_was", "_price")
+    t = before_blocks(cut(t), by, "_block", lasts={"_up": (F.col("_c"), at)})
+    return t.withColumn("up", F.coalesce(F.last("_c", ignorenulls=True).over(w), "_up")).drop("_c", "_up")
+
+
+def tick_rule(ticks: DataFrame, block: str | int = BLOCK) -> DataFrame:
+    """Adds up: 1, 0 or -1 by the last price change that was not null; the first trade of a symbol has none. Zero changes carry on.
+
+    Windows are by (symbol, block of time); prices and changes are carried over blocks. Prices aren't null.
+    """
+    return _ruled(ticks, block).drop("_block", "first")
 
 
 def size_of(kind: str) -> Column:
@@ -32,23 +49,25 @@ def size_of(kind: str) -> Column:
     return {"volume": F.col("qty"), "dollar": F.round(F.col("price") * F.col("qty") * 100).cast("long"), "tick": F.lit(1).cast("long")}[kind]
 
 
-def tick_bars(ticks: DataFrame, size: int, kind: str = "volume") -> DataFrame:
+def tick_bars(ticks: DataFrame, size: int, kind: str = "volume", block: str | int = BLOCK) -> DataFrame:
     """Bars of `size` units. A trade that crosses a multiple of size is split there once, so one that spans several bars makes
     one large bar; the first trade never crosses. What is left after the last full bar (under 0.999 of size) is not a bar.
 
-    One window by symbol over all trades: there is no state by file, so the cut of the input doesn't matter.
+    Windows are by (symbol, block of time), whatever a symbol's history: units and crossings so far are sums of the blocks before
+    and of the rows before in the block. There is no state by file, so the cut of the input doesn't matter.
     """
-    w = Window.partitionBy("symbol").orderBy("time", "id")
-    t = tick_rule(ticks).withColumn("target", size_of(kind)).withColumn("cum", F.sum("target").over(w))
-    t = t.withColumn("crossed", F.coalesce(F.floor(F.col("cum") / size) > F.floor(F.lag("cum").over(w) / size), F.lit(False)))
+    by = ["symbol"]
+    w = within(by, "_block", "time", "id")
+    t = before_blocks(cut(_ruled(ticks, block).withColumn("target", size_of(kind))), by, "_block", sums={"_units": F.col("target")})
+    t = t.withColumn("cum", F.col("_units") + F.sum("target").over(w))
+    t = t.withColumn("crossed", ~F.col("first") & (F.floor(F.col("cum") / size) > F.floor((F.col("cum") - F.col("target")) / size)))
+    t = before_blocks(cut(t.drop("_units")), by, "_block", sums={"_bars": F.col("crossed").cast("int")})
     rest = F.col("cum") % size
     whole = F.struct(F.col("target").alias("part"), F.lit(0).alias("piece"))
     parts = F.when(F.col("crossed") & (rest > 0), F.array(F.struct((F.col("target") - rest).alias("part"), F.lit(0).alias("piece")), F.struct(rest.alias("part"), F.lit(1).alias("piece")))).otherwise(F.array(whole))
-    t = t.withColumn("p", F.explode(parts)).withColumn("part", F.col("p.part")).withColumn("piece", F.col("p.piece"))
-    # The piece after a crossing opens a bar; a trade that ends on a multiple closes one, so the next one opens.
-    order = Window.partitionBy("symbol").orderBy("time", "id", "piece")
-    opens = F.when(F.col("piece") == 1, 1).when(F.lag(F.col("crossed") & (rest == 0)).over(order), 1).otherwise(0)
-    t = t.withColumn("opens", opens).withColumn("bar", F.sum("opens").over(order))
+    # The piece after a crossing opens a bar, and so does the trade after one that ends on a multiple: a trade's bar is the number of crossings before it.
+    opened = F.col("_bars") + F.coalesce(F.sum(F.col("crossed").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    t = t.withColumn("bar", opened).withColumn("p", F.explode(parts)).withColumn("part", F.col("p.part")).withColumn("piece", F.col("p.piece")).withColumn("bar", F.col("bar") + F.col("piece"))
     share, at = F.col("part") / F.col("target"), F.struct("time", "id", "piece")
     qty = F.col("qty") * share
     dollar = F.col("price") * qty

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .blocks import BLOCK as BLOCK_TIME
+from .blocks import block_of, sized
+
 #: Bars in a block of the bucketed range join.
 BLOCK = 64
 
@@ -35,20 +38,33 @@ def path(events: DataFrame, bars: DataFrame, x: str, nbars: int, scale: int = 1,
     return g.select("symbol", "i0", "step", F.when(F.col("n") == scale, F.col("value")).alias("value"))
 
 
-def as_of(left: DataFrame, right: DataFrame, key: str = "symbol", time: str = "time", strict: bool = False, forward: bool = False, suffix: str = "_r") -> DataFrame:
-    """left with the last row of right at or before its time (strict: before), or the first at or after it (forward). Unmatched: null.
+def as_of(left: DataFrame, right: DataFrame, key: str = "symbol", time: str = "time", strict: bool = False, forward: bool = False, suffix: str = "_r", block: str | int = BLOCK_TIME) -> DataFrame:
+    """left with the last row of right at or before its time (strict: before), or the first at or after it (forward). Unmatched: null. Columns of right get the suffix.
 
-    A sorted union: one shuffle by key, linear in both sides. Columns of right get the suffix.
+    A sorted union by (key, block of time), linear in both sides and with no task that holds a key's history: the last row
+    of right in each block (first, if forward) is carried over the blocks to come by a window over a row for each block. Of rows of right
+    at one time any may be taken; a null key meets nothing.
     """
     cols = [c for c in right.columns if c != key]
-    r = right.select(key, F.col(time).alias("_t"), F.lit(1 if strict ^ forward else 0).alias("_side"), F.struct(*cols).alias("_r"), F.lit(None).cast(left.select(F.struct("*")).schema[0].dataType).alias("_l"))
-    ltag = 0 if strict ^ forward else 1
-    lf = left.select(key, F.col(time).alias("_t"), F.lit(ltag).alias("_side"), F.lit(None).cast(r.schema["_r"].dataType).alias("_r"), F.struct("*").alias("_l"))
-    w = Window.partitionBy(key).orderBy("_t", "_side")
-    w = w.rowsBetween(0, Window.unboundedFollowing) if forward else w.rowsBetween(Window.unboundedPreceding, 0)
-    pick = (F.first if forward else F.last)("_r", ignorenulls=True).over(w)
-    u = lf.unionByName(r).withColumn("_m", pick).where(F.col("_l").isNotNull())
-    return u.select("_l.*", *[F.col(f"_m.{c}").alias(f"{c}{suffix}") for c in cols])
+    width = block_of(left, time, block)
+    r_first = 1 if strict ^ forward else 0
+    own = F.struct(*[F.col(c) for c in cols])
+    r = right.select(key, F.col(time).alias("_t"), width.alias("_b"), F.lit(r_first).alias("_side"), own.alias("_r"), F.lit(None).cast(left.select(F.struct("*")).schema[0].dataType).alias("_l"))
+    lf = left.select(key, F.col(time).alias("_t"), width.alias("_b"), F.lit(1 - r_first).alias("_side"), F.lit(None).cast(r.schema["_r"].dataType).alias("_r"), F.struct("*").alias("_l"))
+    w = Window.partitionBy(key, "_b").orderBy("_t", "_side")
+    over = Window.partitionBy(key).orderBy("_b")
+    if forward:
+        w, over = w.rowsBetween(0, Window.unboundedFollowing), over.rowsBetween(1, Window.unboundedFollowing)
+    else:
+        w, over = w.rowsBetween(Window.unboundedPreceding, 0), over.rowsBetween(Window.unboundedPreceding, -1)
+    u = lf.unionByName(r)
+    pick = F.first if forward else F.last
+    ends = r.groupBy(key, "_b").agg((F.min_by if forward else F.max_by)("_r", "_t").alias("_end"))
+    blocks = lf.select(key, "_b").distinct().join(ends, [key, "_b"], "full")
+    carried = blocks.select(key, "_b", pick("_end", ignorenulls=True).over(over).alias("_end"))
+    m = u.withColumn("_m", pick("_r", ignorenulls=True).over(w)).where(F.col("_l").isNotNull())
+    m = m.join(sized(carried), (F.col(f"_l.{key}") == carried[key]) & (m["_b"] == carried["_b"]), "left").withColumn("_m", F.coalesce("_m", "_end"))
+    return m.select("_l.*", *[F.col(f"_m.{c}").alias(f"{c}{suffix}") for c in cols])
 
 
 def ols(y: str, x: str) -> dict[str, Column]:
