@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -9,6 +12,8 @@ from pyspark.sql import functions as F
 from strandline.functions.windows import between, order
 from strandline.sources.scratch import cut
 
+from .blocks import before_blocks, sized
+
 
 def crossed(x: str, level: Column | float, up: bool) -> Column:
     """x is at or beyond level now and was short of it in the bar before. False where either is null."""
@@ -37,36 +42,98 @@ def paired_trades(bars: DataFrame, entry: Column, exit_: Column, keys: tuple[str
     return e.where("kind = 0 and t1 is not null").select(*keys, F.col("time").alias("t0"), F.col("bar_id").alias("i0"), "t1", "i1")
 
 
-def cusum_events(bars: DataFrame, x: str, threshold: str, use_pos: bool = True, use_neg: bool = True) -> DataFrame:
+def sum_exits(steps: np.ndarray, limits: np.ndarray) -> tuple[list[float], list[float], list[float]]:
+    """What a block of rows makes of every state s >= 0 that it may be entered with, for s = max(0, s + step), back to 0 beyond the limit.
+
+    States up to each of `tops` (rising) leave with the state in `leave`; where `kept` is 1 that is added to s, as these have met neither 0 nor a
+    limit. Entries that have met one are in few states from then on, and those in one state stay together.
+    """
+    low, high, run = -1.0, math.inf, 0.0  # entries in (low, high] have met nothing so far
+    classes: dict[float, list[float]] = {}  # state -> upper ends of the intervals of entries in it
+    for step, limit in zip(steps.tolist(), limits.tolist()):
+        moved: dict[float, list[float]] = {}
+        for s, tops in classes.items():
+            s = max(0.0, s + step)
+            moved.setdefault(0.0 if s > limit else s, []).extend(tops)
+        classes = moved
+        if low < high:
+            run += step
+            if math.isnan(run):
+                classes.setdefault(0.0, []).append(high)
+                low = high
+                continue
+            if -run > low:
+                low = min(-run, high)
+                classes.setdefault(0.0, []).append(low)
+            if limit - run < high and low < high:
+                classes.setdefault(0.0, []).append(high)
+                high = max(limit - run, low)
+    rows = [(top, s, 0.0) for s, tops in classes.items() for top in tops] + ([(high, run, 1.0)] if low < high else [])
+    tops, leave, kept = (list(x) for x in zip(*sorted(rows))) if rows else ([math.inf], [0.0], [1.0])
+    return tops, leave, kept
+
+
+def cusum_events(bars: DataFrame, x: str, threshold: str, use_pos: bool = True, use_neg: bool = True, block: int = 4096) -> DataFrame:
     """symbol, time, bar_id, side of the bars at which the running sum of changes of x leaves (-h, h); it then starts anew.
 
-    The reset makes it a fold over a symbol's bars, so it is a grouped Arrow-batched function: bars only, not ticks.
-    A null threshold makes no event but the sums go on. The lower side is looked at first.
+    No task holds a symbol's history: rows are in blocks of `block` bar numbers; each is summed up as a map from the state it may be entered with
+    to the state it leaves (sum_exits), the maps are composed in order, a few numbers for each block, and then each block is walked once from its entry.
+
+    A null threshold makes no event but the sums go on. A null x sets both sums to 0, at its own bar and at the next, whose changes are
+    null. The lower side is looked at first.
     """
+    types = {f.name: f.dataType.simpleString() for f in bars.schema}
+    own = bars.select("symbol", "time", "bar_id", F.col(x).cast("double").alias("x"), F.col(threshold).cast("double").alias("h"), F.floor(F.col("bar_id") / block).alias("_b"))
+    own = before_blocks(own, ["symbol"], "_b", lasts={"_was": (F.struct("x"), F.col("bar_id"))})
+    own = cut(own.select("symbol", "time", "bar_id", "x", "h", "_b", F.col("_was.x").alias("was"), F.col("_was").isNotNull().alias("goes_on")))
+
+    def changes(pdf: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
+        """Rows that have one before them, their changes and limits."""
+        pdf = pdf.sort_values("bar_id", ignore_index=True)
+        v = pdf["x"].to_numpy(float)
+        d = v - np.concatenate([pdf["was"].to_numpy(float)[:1], v[:-1]])
+        k = 0 if pdf["goes_on"].iloc[0] else 1
+        return pdf.iloc[k:], d[k:], pdf["h"].to_numpy(float)[k:]
+
+    def summed(pdf: pd.DataFrame) -> pd.DataFrame:
+        _, d, h = changes(pdf)
+        rows = [(pdf["symbol"].iloc[0], pdf["_b"].iloc[0], side, *sum_exits(side * d, h)) for side in (1, -1)]
+        return pd.DataFrame(rows, columns=["symbol", "_b", "side", "tops", "leave", "kept"])
+
+    def composed(pdf: pd.DataFrame) -> pd.DataFrame:
+        state, out = {1: 0.0, -1: 0.0}, {}
+        for b, side, tops, leave, kept in pdf.sort_values("_b")[["_b", "side", "tops", "leave", "kept"]].itertuples(index=False):
+            s = state[side]
+            out.setdefault(b, {})[side] = s
+            k = int(np.searchsorted(tops, s))
+            state[side] = leave[k] + (s if kept[k] else 0.0)
+        return pd.DataFrame([(pdf["symbol"].iloc[0], b, x[1], x[-1]) for b, x in out.items()], columns=["symbol", "_b", "up", "down"])
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("bar_id")
-        v, h = pdf["x"].to_numpy(float), pdf["h"].to_numpy(float)
-        hi = lo = 0.0
+        hi, lo = float(pdf["up"].iloc[0]), -float(pdf["down"].iloc[0])
+        pdf, d, h = changes(pdf)
         at, side = [], []
-        for i in range(1, len(v)):
-            d = v[i] - v[i - 1]
-            hi, lo = max(0.0, hi + d), min(0.0, lo + d)
-            if use_neg and lo < -h[i]:
+        for i, (step, limit) in enumerate(zip(d.tolist(), h.tolist())):
+            hi, lo = max(0.0, hi + step), min(0.0, lo + step)
+            if lo < -limit:
                 lo = 0.0
                 at.append(i)
                 side.append(-1)
-            if use_pos and hi > h[i]:
+            if hi > limit:
                 hi = 0.0
                 at.append(i)
                 side.append(1)
-        out = pdf.iloc[at][["symbol", "time", "bar_id"]].copy()
-        out["side"] = side
-        return out
-
-    types = {f.name: f.dataType.simpleString() for f in bars.schema}
-    cols = bars.select("symbol", "time", "bar_id", F.col(x).alias("x"), F.col(threshold).alias("h"))
-    return cols.groupBy("symbol").applyInPandas(walk, f"symbol {types['symbol']}, time {types['time']}, bar_id long, side long")
+        return pdf.iloc[at][["symbol", "time", "bar_id"]].assign(side=side)
+
+    key = f"symbol {types['symbol']}"
+    if own.where("goes_on").where(F.col("_b") > 0).take(1):
+        maps = own.groupBy("symbol", "_b").applyInPandas(summed, f"{key}, _b long, side long, tops array<double>, leave array<double>, kept array<double>")
+        entries = cut(maps.groupBy("symbol").applyInPandas(composed, f"{key}, _b long, up double, down double"))
+        own = own.join(sized(entries), ["symbol", "_b"])
+    else:
+        own = own.withColumns({"up": F.lit(0.0), "down": F.lit(0.0)})
+    out = own.groupBy("symbol", "_b").applyInPandas(walk, f"{key}, time {types['time']}, bar_id long, side long")
+    return out.where(F.lit(use_pos) & (F.col("side") > 0) | F.lit(use_neg) & (F.col("side") < 0))
 
 
 def refractory(bars: DataFrame, signal: Column, distance: int) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from strandline.functions.metrics import student_tail
 from strandline.operators import encodings as E
 from strandline.operators import levels as V
-from strandline.operators.events import cusum_events, non_overlapping
+from strandline.operators.events import cusum_events, non_overlapping, sum_exits
 
 
 @pytest.mark.parametrize("block", [3, 4096])
@@ -84,18 +84,63 @@ def test_levels(spark):
     assert got["value"] == pytest.approx(0.75)
 
 
-def test_cusum_resets(spark):
+@pytest.mark.parametrize("block", [1, 7, 4096])
+def test_cusum_resets(spark, block):
     r = random.Random(5)
-    x = np.cumsum([r.gauss(0, 1) for _ in range(120)])
-    rows = [("a", i, i, float(v), 1.5 if i % 10 else None) for i, v in enumerate(x)]
-    want, hi, lo = set(), 0.0, 0.0
-    for i in range(1, len(x)):
-        hi, lo = max(0.0, hi + x[i] - x[i - 1]), min(0.0, lo + x[i] - x[i - 1])
-        if i % 10 and lo < -1.5:
-            want.add((i, -1))
-            lo = 0.0
-        if i % 10 and hi > 1.5:
-            want.add((i, 1))
-            hi = 0.0
-    got = cusum_events(spark.createDataFrame(rows, "symbol string, time long, bar_id long, x double, h double"), "x", "h")
-    assert {(g["bar_id"], g["side"]) for g in got.collect()} == want
+    rows, want = [], set()
+    for s in "ab":
+        x, v = [], 0.0
+        for _ in range(150):
+            v += r.gauss(0, 1)
+            x.append(None if r.random() < 0.05 else v)
+        rows += [(s, i, i, v, 1.5 if i % 10 else None) for i, v in enumerate(x)]
+        hi = lo = 0.0
+        for i in range(1, len(x)):
+            # A null sets both sums to nothing, at its own bar and at the next.
+            hi, lo = (0.0, 0.0) if None in (x[i], x[i - 1]) else (max(0.0, hi + x[i] - x[i - 1]), min(0.0, lo + x[i] - x[i - 1]))
+            if i % 10 and lo < -1.5:
+                want.add((s, i, -1))
+                lo = 0.0
+            if i % 10 and hi > 1.5:
+                want.add((s, i, 1))
+                hi = 0.0
+    df = spark.createDataFrame(rows, "symbol string, time long, bar_id long, x double, h double").repartition(3)
+    got = cusum_events(df, "x", "h", block=block).collect()
+    assert len(got) == len(want) and {(g["symbol"], g["bar_id"], g["side"]) for g in got} == want
+    assert {g["side"] for g in cusum_events(df, "x", "h", use_neg=False, block=block).collect()} == {1}
+
+
+def test_sum_exits():
+    """The map of a block against a walk from many entries."""
+    r = random.Random(1)
+    for _ in range(300):
+        n = r.randrange(1, 30)
+        steps, limits = [r.gauss(0, 1) if r.random() > 0.03 else math.nan for _ in range(n)], [r.choice((0.8, 2.0, math.nan)) for _ in range(n)]
+        tops, leave, kept = sum_exits(np.array(steps), np.array(limits))
+        assert tops == sorted(tops) and tops[-1] == math.inf
+        for entry in [0.0, *(r.random() * 6 for _ in range(20))]:
+            s = entry
+            for d, h in zip(steps, limits):
+                s = max(0.0, s + d)
+                s = 0.0 if s > h else s
+            k = int(np.searchsorted(tops, entry))
+            assert leave[k] + (entry if kept[k] else 0.0) == pytest.approx(s, abs=1e-12)
+
+
+@pytest.mark.parametrize(("block", "splits"), [(1, 4), (7, 16), (4096, 256)])
+def test_quantile_messages(spark, block, splits):
+    r = random.Random(4)
+    series = {s: [None if r.random() < 0.1 else float(r.choice((r.randrange(5), r.gauss(0, 3)))) for _ in range(70)] for s in "ab"}
+    bars = spark.createDataFrame([(s, i, x) for s, v in series.items() for i, x in enumerate(v)], "symbol string, bar_id long, x double").repartition(3)
+    ranked = {(x["symbol"], x["bar_id"]): (x["rank"], x["n"]) for x in E.prefix_ranks(bars.where("x is not null"), "x", block=block, splits=splits).collect()}
+    for s, v in series.items():
+        for i, x in enumerate(v):
+            so_far = [y for y in v[: i + 1] if y is not None]
+            assert x is None or ranked[s, i] == (sum(y <= x for y in so_far), len(so_far))
+    events = bars.where("bar_id % 3 = 0").selectExpr("symbol", "bar_id as i0")
+    got = {(x["symbol"], x["i0"]): x["msg"] for x in E.quantile_messages(events, bars, "x", 12, 4, block=block).collect()}
+    for s, v in series.items():
+        for i in range(0, 70, 3):
+            so_far, near = ([y for y in z if y is not None] for z in (v[: i + 1], v[max(0, i - 11) : i + 1]))
+            edges = np.quantile(so_far, [0.25, 0.5, 0.75]) if so_far else []
+            assert got.get((s, i)) == ("".join(str(int(sum(q <= x + 1e-12 for q in edges))) for x in near) if near else None)
