@@ -35,6 +35,21 @@ def purged_folds(events: DataFrame, splits: int, embargo: float = 0.0, keys: tup
     return j.select(*keys, "fold", "i0", role.alias("role")).where("role is not null")
 
 
+def spanned_folds(rows: DataFrame, splits: int, time: str = "time", warm_up: int = 0, gap_days: int = 0) -> DataFrame:
+    """time_folds over the days from the first to the last row of a table: one row comes to the driver. A table without times has no folds."""
+    first, last = rows.agg(F.min(F.to_date(time)), F.max(F.to_date(time))).first()
+    spark = rows.sparkSession
+    none = time_folds(spark, splits, dt.date(1970, 1, 1), dt.date(1970, 1, 1), warm_up, gap_days).where("false")
+    return none if first is None else time_folds(spark, splits, first, last, warm_up, gap_days)
+
+
+def fold_columns(events: DataFrame, splits: int, embargo: float = 0.0, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """keys, i0, fold (0.., the one whose test it is in) and trains (the folds it trains): purged_folds in one row for each event, for PurgedCrossValidator."""
+    f = purged_folds(events, splits, embargo, keys)
+    own, of = F.max(F.when(F.col("role") == "test", F.col("fold"))) - 1, F.collect_set(F.when(F.col("role") == "train", F.col("fold") - 1))
+    return f.groupBy(*keys, "i0").agg(own.cast("int").alias("fold"), F.sort_array(of).alias("trains"))
+
+
 def overlaps(events: DataFrame, longest: int, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
     """Pairs (a, b), a < b, of events i0..i1 that share a bar. Events are at most `longest` bars, so each looks in two blocks of so many."""
     e = events.select(*keys, "i0", "i1").withColumn("block", F.explode(F.sequence(F.floor(F.col("i0") / longest), F.floor(F.col("i1") / longest))))

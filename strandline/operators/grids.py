@@ -9,7 +9,11 @@ from pyspark.sql import functions as F
 
 from strandline.functions.windows import lag
 
-from .events import non_overlapping, paired_trades
+from strandline.sources.scratch import cut
+
+from .events import cusum_events, non_overlapping, paired_trades
+from .labels import first_touch
+from .weights import uniqueness
 
 KEYS = ("symbol", "thr")
 
@@ -78,3 +82,28 @@ def dynamic_exits(bars: DataFrame, feature: str, thresholds: Sequence[float], ex
     """Entries at each threshold, each with the next crossing of exit_level: symbol, thr, t0, i0, t1, i1."""
     g = on_grid(bars, feature, thresholds)
     return paired_trades(g, crosses(feature, F.col("thr"), entry_up), crosses(feature, F.lit(exit_level), exit_up), KEYS)
+
+
+def sampling_grid(bars: DataFrame, vol: str, params: Sequence[dict[str, float]], cost: float = 0.001) -> DataFrame:
+    """symbol, h_mul, hold, barrier, n, uniqueness, abs_ret, score of every parameter set over the sampling pipeline, in one plan.
+
+    Each set is a part of the key, so all of them go through the same reset filter (limit h_mul * vol), first touches (barrier * vol on both sides,
+    `hold` bars at most) and uniqueness weights; the score is mean uniqueness * (mean absolute return - cost) * events. Sets are few, as bars are repeated
+    for each; bars of null vol make no event; bars(symbol, time, bar_id, close).
+    """
+    sets = F.array(*[F.struct(F.lit(k).alias("set"), *[F.lit(float(p[c])).alias(c) for c in ("h_mul", "hold", "barrier")]) for k, p in enumerate(params)])
+    keyed = bars.select("symbol", "time", "bar_id", "close", F.col(vol).alias("vol"), F.explode(sets).alias("p")).select("*", "p.*")
+    keyed = keyed.withColumn("symbol", F.concat_ws("|", "set", "symbol"))
+    ready = keyed.withColumn("x", F.ln("close")).withColumn("h", F.col("h_mul") * F.col("vol"))
+    i0 = cusum_events(ready, "x", "h").select("symbol", F.col("bar_id").alias("i0")).distinct()
+    at = keyed.select("symbol", F.col("bar_id").alias("i0"), F.col("close").alias("p0"), (F.col("vol") * F.col("barrier")).alias("vol"), (F.col("bar_id") + F.col("hold").cast("long")).alias("i1"))
+    events = cut(i0.join(at, ["symbol", "i0"]))
+    touched = first_touch(events, keyed, 1.0, 1.0, longest=int(max(p["hold"] for p in params)))
+    weighted = uniqueness(touched.select("symbol", "i0", "i1"), keyed)
+    ends = keyed.select("symbol", F.col("bar_id").alias("i1"), F.col("close").alias("p1"))
+    out = weighted.join(events.select("symbol", "i0", "p0"), ["symbol", "i0"]).join(ends, ["symbol", "i1"])
+    g = out.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.avg("weight").alias("uniqueness"), F.avg(F.abs(F.col("p1") / F.col("p0") - 1)).alias("abs_ret"))
+    g = g.withColumn("score", F.col("uniqueness") * (F.col("abs_ret") - cost) * F.col("n"))
+    parts = F.split("symbol", r"\|", 2)
+    g = g.withColumn("p", F.element_at(sets, (parts[0].cast("int") + 1))).withColumn("symbol", parts[1])
+    return g.select("symbol", "p.h_mul", "p.hold", "p.barrier", "n", "uniqueness", "abs_ret", "score")

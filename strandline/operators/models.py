@@ -7,10 +7,11 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.tuning import CrossValidator, CrossValidatorModel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,6 +51,40 @@ def used_features(model: PipelineModel, features: Sequence[str]) -> list[str]:
     return [f for f, (m, _) in impurity_importance(model, features).items() if m > 0]
 
 
+def boosted(train: DataFrame, features: Sequence[str], label: str = "y", weight: str | None = "wt", rounds: int = 20, depth: int = 3, rate: float = 0.3, seed: int = 1) -> PipelineModel:
+    """Gradient-boosted trees on all features."""
+    model = GBTClassifier(featuresCol="_x", labelCol=label, maxIter=rounds, maxDepth=depth, stepSize=rate, seed=seed)
+    if weight:
+        model = model.setWeightCol(weight)
+    return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="_x"), model]).fit(train)
+
+
+def gain_importance(model: PipelineModel, features: Sequence[str]) -> dict[str, float]:
+    """feature -> its share of the gain of all splits of a boosted model's trees, each tree counted by its weight; largest first."""
+    gains = model.stages[-1].featureImportances.toArray()
+    return dict(sorted(zip(features, map(float, gains)), key=lambda x: (-x[1], x[0])))
+
+
+class PurgedCrossValidator(CrossValidator):
+    """Spark ML's cross-validation, grid, parallelism and all, on folds with purged training sets: fold k is tested on the rows whose `fold` is k and trained on those whose `trains` holds k (folds.fold_columns). Rows are not repeated by fold."""
+
+    def _kFold(self, dataset: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
+        return [(dataset.where(F.array_contains("trains", k)), dataset.where(F.col("fold") == k)) for k in range(self.getNumFolds())]
+
+
+def purged_scores(rows: DataFrame, features: Sequence[str], cs: Sequence[float], folds: int, label: str = "y", weight: str = "wt", metric: str = "logLoss", parallelism: int = 4) -> tuple[CrossValidatorModel, list[tuple[float, float, float]]]:
+    """rows(features, label, weight, fold, trains) -> the fitted validator, and (c, mean, deviation of the score over folds) for every regularisation of logistic regressions: the grid and folds are fitted side by side. Log loss comes with a minus sign."""
+    total = float(rows.agg(F.sum(weight)).first()[0] or 1.0)
+    ready = VectorAssembler(inputCols=list(features), outputCol="_x").transform(rows)
+    model = LogisticRegression(featuresCol="_x", labelCol=label, weightCol=weight, standardization=False)
+    grid = [{model.regParam: 1.0 / (c * total)} for c in cs]
+    score = MulticlassClassificationEvaluator(labelCol=label, metricName=metric, weightCol=weight)
+    cv = PurgedCrossValidator(estimator=model, estimatorParamMaps=grid, evaluator=score, numFolds=folds, parallelism=parallelism)
+    fitted = cv.fit(ready)
+    sign = -1.0 if metric == "logLoss" else 1.0
+    return fitted, [(float(c), sign * m, s) for c, m, s in zip(cs, fitted.avgMetrics, fitted.stdMetrics)]
+
+
 def logistic(train: DataFrame, features: Sequence[str], label: str = "y", weight: str | None = "wt", c: float = 1.0) -> PipelineModel:
     """L2 logistic regression with regularisation 1 / (c * sum of weights), features as they are."""
     total = train.agg(F.sum(weight) if weight else F.count(F.lit(1))).first()[0] or 1.0

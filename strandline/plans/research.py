@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import datetime as dt
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -255,9 +254,11 @@ def b6(t):
     return K.overlaps(falling(t), 11)
 
 
-@query("k1_time_folds", "select i::bigint as fold, timestamp '2024-01-01' as train_start, ((date '2024-01-01' + (i * 72)::int) - 4)::timestamp as train_end, (date '2024-01-01' + (i * 72)::int)::timestamp as test_start, (case when i = 4 then date '2024-12-31' else date '2024-01-01' + (i * 72 + 72)::int end)::timestamp as test_end from range(1, 5) r(i)")
+@query("k1_time_folds", """with s as (select min(ts)::date as a, max(ts)::date as b from events), d as (select *, (b - a + 1) // 5 as days from s)
+select i::bigint as fold, a::timestamp as train_start, (a + (i * (days - 1) - 4)::int)::timestamp as train_end, (a + (i * (days - 1))::int)::timestamp as test_start,
+  (case when i = 4 then b else a + (i * (days - 1) + days - 1)::int end)::timestamp as test_end from d, range(1, 5) r(i)""")
 def k1(t):
-    days = K.time_folds(t.spark, 5, dt.date(2024, 1, 1), dt.date(2024, 12, 31), warm_up=1, gap_days=3)
+    days = K.spanned_folds(t.read("events"), 5, "ts", warm_up=1, gap_days=3)
     return days.select("fold", *[F.col(c).cast("timestamp_ntz").alias(c) for c in days.columns[1:]])
 
 

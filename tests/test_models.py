@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from strandline.operators import folds as K
 from strandline.operators import models as M
 from strandline.operators import unitroot as U
 
@@ -48,6 +49,25 @@ def test_cross_score_and_bets(spark, data):
     assert M.best_of_grid(grid, ["g"], "score").count() == 1
 
 
+def test_boosted_gain(data):
+    gain = M.gain_importance(M.boosted(data, ["b", "a"], rounds=5), ["b", "a"])
+    assert list(gain)[0] == "a" and gain["a"] > 0.7 and abs(sum(gain.values()) - 1) < 1e-9
+
+
+def test_purged_validator_is_the_loop(spark, data):
+    """Scores of the validator against fits one by one; a purged row trains no fold near it."""
+    rows = data.drop("fold").selectExpr("*", "'s' as symbol", "cast(i as long) as i0", "cast(i + 7 as long) as i1")
+    folded = rows.join(K.fold_columns(rows, 4, 0.02), ["symbol", "i0"]).cache()
+    assert folded.where("size(trains) < 3").count() > 0 and folded.where("array_contains(trains, fold)").count() == 0
+    _, scores = M.purged_scores(folded, ["a", "b"], (0.5, 2.0), 4)
+    total = folded.agg(F.sum("wt")).first()[0]
+    for c, mean, _ in scores:
+        loop = folded.select("*", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k")).withColumn("role", F.when(F.col("fold") == F.col("k"), "test").when(F.array_contains("trains", F.col("k")), "train"))
+        fit = lambda d, c=c: M.logistic(d, ["a", "b"], c=c * total / d.agg(F.sum("wt")).first()[0])
+        each = M.cross_score(loop.where("role is not null"), fit, folds_col="k")
+        assert mean == pytest.approx(sum(each.values()) / 4, rel=1e-6)
+
+
 def test_recursive_cusum_and_adf():
     """Against regressions one by one."""
     import numpy as np
