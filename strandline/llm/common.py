@@ -102,9 +102,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
         if not e.take(1) or (not heads.where("n > 1").take(1) and not e.join(e.select(F.col("v").alias("u")).distinct(), "u", "left_semi").take(1)):
             break
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-        # The centre of a big component has as many rows as neighbours, so its minimum is broadcast.
-        large = join_skewed(both.where("v > u"), least, ["u"], "n", 2 * e.count()).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # The centre of a big component has as many rows as neighbours, of 16 bytes each; a partition that they fill is split by the adaptive skew join.
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())

@@ -214,13 +214,16 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK
 
     An id in many pairs, as a pivot's v is, has its partners dealt into blocks of about `block`, and its set goes once to each of them.
     """
-    rows, whole = pairs, sets
-    for side, e in (("u", "a"), ("v", "b")):
-        many = pairs.groupBy(side).agg(F.count(F.lit(1)).alias("_m")).where(F.col("_m") > block).select(F.col(side).alias("id"), F.ceil(F.col("_m") / block).cast("int").alias("_parts"))
-        many = fit_broadcast(written(many))
-        own = whole.join(many, "id", "left").select(F.col("id").alias(side), F.col("e").alias(e), F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)).alias("_part"))
-        other = "v" if side == "u" else "u"
-        rows = rows.join(many.withColumnRenamed("id", side), side, "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(other), F.col("_parts")).cast("int"), F.lit(0)))
+    rows = pairs
+    for side, other, e in (("u", "v", "a"), ("v", "u", "b")):
+        own = sets.select(F.col("id").alias(side), F.col("e").alias(e))
+        many = pairs.groupBy(side).agg(F.count(F.lit(1)).alias("_m")).where(F.col("_m") > block).select(side, F.ceil(F.col("_m") / block).cast("int").alias("_parts"))
+        if not many.take(1):
+            rows = rows.join(own, side)
+            continue
+        many = fit_broadcast(many)
+        own = own.join(many, side, "left").select(side, e, F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)).alias("_part"))
+        rows = rows.join(many, side, "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(other), F.col("_parts")).cast("int"), F.lit(0)))
         rows = rows.join(own, [side, "_part"]).drop("_part", "_parts")
     shared = F.size(F.array_intersect("a", "b"))
     return rows.where(100 * shared >= percent * (F.size("a") + F.size("b") - shared)).select(*pairs.columns)
