@@ -6,6 +6,8 @@ block take that from a join. What is within the block is a window by key and blo
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -41,3 +43,16 @@ def before_blocks(df: DataFrame, keys: list[str], block: str, sums: dict[str, Co
 
 def within(keys: list[str], block: str, *order: str) -> WindowSpec:
     return Window.partitionBy(*keys, block).orderBy(*order)
+
+
+def by_block(bars: DataFrame, add: Callable[[DataFrame], DataFrame], before: int, after: int = 0, block: int = 4096) -> DataFrame:
+    """add(bars), where add makes windows by symbol and bar_id that look at most `before` rows back and `after` ahead, all its steps together.
+
+    The windows run by symbol and block of `block` bar numbers; a block has the rows of its neighbours in reach besides its own, and gives out its
+    own only. So a task holds block + before + after rows, whatever the symbol's history; bar_id is dense. add keeps the columns that it gets.
+    """
+    place = lambda x: F.floor(x / block)
+    at = F.col("bar_id")
+    rows = bars.withColumn("_block", F.explode(F.sequence(F.greatest(place(at - after), F.lit(0)), place(at + before)))).withColumn("_symbol", F.col("symbol"))
+    out = add(rows.withColumn("symbol", F.struct("_symbol", "_block")))
+    return out.where(place(at) == F.col("_block")).withColumn("symbol", F.col("_symbol")).drop("_symbol", "_block")

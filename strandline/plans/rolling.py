@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions import windows as W
 from strandline.functions.windows import between, col, div, gate, lag, order, prefix, roll, sma, w
+from strandline.operators.blocks import by_block
 from strandline.sources.tables import BARS, TICKS
 
 from . import sqltext as S
@@ -17,18 +18,32 @@ from .registry import query
 N = 20
 
 
+#: What the rolling features look at together with what they are made of, in bars; those that look at all history are in HISTORY.
+BACK, AHEAD = 256, 32
+HISTORY = ("c11_forward_back_fill", "m15_cumulative_return", "w3_williams_r", "w12_run_length")
+FEATURES: dict[str, Callable] = {}
+
+
 def feature(name: str, adds: list[dict[str, tuple[Callable[[], Column], str]]], digits: int = 6) -> None:
     """A query of the last column added to the bars, rounded. Each column is given for Spark, to be made when the query runs, and for SQL; a dict is one step."""
     value = list(adds[-1])[-1]
     sql = S.steps(BARS, "bars", [{k: v[1] for k, v in a.items()} for a in adds], f"symbol, bar_id, round(({value})::double, {digits}) as value")
 
-    @query(name, sql)
-    def run(t):
-        df = t.bars
+    def add(df):
         for a in adds:
             df = df.select("*", *[v[0]().alias(k) for k, v in a.items()])
+        return df
+
+    def of(bars, block: int | None = 4096):
+        df = add(bars) if block is None or name in HISTORY else by_block(bars, add, BACK, AHEAD, block)
         return df.select("symbol", "bar_id", F.round(F.col(value).cast("double"), digits).alias("value"))
 
+    FEATURES[name] = of
+
+    @query(name, sql)
+    def run(t):
+        return of(t.bars)
+
 
 LC = {"lc": (lambda: F.ln("close"), "ln(close)")}
 RET = {"ret": (lambda: F.ln(F.col("close") / lag("close")), "ln(close / lag(close) over o)")}
