@@ -122,6 +122,11 @@ def match_entropy_of(window: int | None = None):
     return run
 
 
+def redundancy(entropy: Column, msg: Column) -> Column:
+    """1 - entropy / log2 of the message's length: what is left of the entropy that its length allows. Null for messages under two letters."""
+    return F.when(F.char_length(msg) > 1, 1 - entropy / F.log2(F.char_length(msg)))
+
+
 def two_factor(events: DataFrame, bars: int, price: float, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
     """events(keys, i0, p0, vol) without those that overlap a kept one: started less than `bars` bars after it while ln(p / p0) was
     above -price * vol of the kept one; the look ahead stops at the first that fell further. Sequential by key over events, which are few next to bars."""

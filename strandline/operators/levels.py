@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.functions.windows import between, gate
+from strandline.functions.windows import between, div, gate, roll
 
 from .paths import in_reach
 
@@ -22,14 +22,22 @@ def pivots(bars: DataFrame, n: int) -> DataFrame:
     return bars.select("symbol", "bar_id", "close", F.coalesce(low, F.lit(False)).alias("is_low"), F.coalesce(high, F.lit(False)).alias("is_high"))
 
 
-def nearest_levels(events: DataFrame, bars: DataFrame, back: int, nearest: int, confirm: int, below: bool = True) -> DataFrame:
-    """events(symbol, i0, p0) -> symbol, i0, value: |ln(mean of the nearest pivots below (or above) p0 / p0)|, of those from `back` bars before to `confirm` bars before."""
-    flag = "is_low" if below else "is_high"
+def nearest_levels(events: DataFrame, bars: DataFrame, back: int, nearest: int, confirm: int, below: bool = True, both: bool = False, norm: bool = False) -> DataFrame:
+    """events(symbol, i0, p0) -> symbol, i0, value: |ln(mean of the nearest pivots below (or above) p0 / p0)|, of those from `back` bars before to `confirm` bars before.
+
+    Pivots below are lows and those above are highs, or lows and highs alike (`both`). `norm`: in units of the sample deviation of the last `back` log
+    closes, null where these aren't all there.
+    """
+    flag = "is_low or is_high" if both else "is_low" if below else "is_high"
     p = in_reach(events.select("symbol", "i0", "p0"), pivots(bars, confirm).where(flag).select("symbol", "bar_id", "close"), back, -confirm)
     p = p.where(F.col("close") < F.col("p0") if below else F.col("close") > F.col("p0"))
     rank = F.row_number().over(Window.partitionBy(*KEYS).orderBy(F.desc("close") if below else F.asc("close"), "bar_id"))
     g = p.withColumn("n", rank).where(F.col("n") <= nearest).groupBy(*KEYS, "p0").agg(F.avg("close").alias("m"))
-    return g.select(*KEYS, F.abs(F.ln(F.col("m") / F.col("p0"))).alias("value"))
+    value = F.abs(F.ln(F.col("m") / F.col("p0")))
+    if not norm:
+        return g.select(*KEYS, value.alias("value"))
+    sd = bars.select("symbol", F.col("bar_id").alias("i0"), roll(F.stddev_samp, F.ln("close"), back).alias("_sd"))
+    return g.join(sd, list(KEYS)).select(*KEYS, div(value, F.col("_sd")).alias("value"))
 
 
 def level_bins(levels: list[float], groups: int, size: float = 0.5, fill: float = 8.0) -> list[float]:

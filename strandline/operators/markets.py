@@ -81,3 +81,11 @@ def news(pages: DataFrame, json: str = "json", exchange: str = "exchange") -> Da
     """exchange, title, date, link of the notices in pages of announcements."""
     n = pages.select(exchange, F.explode(F.from_json(json, NEWS)["data"]["notices"]).alias("n"))
     return n.select(exchange, "n.title", F.to_timestamp_ntz("n.listed_at", F.lit("yyyy-MM-dd'T'HH:mm:ss")).alias("date"), F.concat(F.lit("/notice?id="), F.col("n.id")).alias("link"))
+
+
+def listed_markets(markets: DataFrame, quote: str, kind: str | None = None, active: bool | None = True) -> DataFrame:
+    """markets(base, quote, type, active, ...) of one quote, of one type (spot, swap) and active or not, where these are asked for: filters that reach the scan. A null is none of them."""
+    out = markets.where(F.col("quote") == quote)
+    if kind is not None:
+        out = out.where(F.col("type") == kind)
+    return out if active is None else out.where(F.col("active") == active)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blocks import BLOCK as BLOCK_TIME
-from .blocks import block_of, sized
+from .blocks import before_blocks, block_of, sized
 
 #: Bars in a block of the bucketed range join.
 BLOCK = 64
@@ -67,6 +67,20 @@ def as_of(left: DataFrame, right: DataFrame, key: str = "symbol", time: str = "t
     return m.select("_l.*", *[F.col(f"_m.{c}").alias(f"{c}{suffix}") for c in cols])
 
 
+def last_rows(events: DataFrame, rows: DataFrame, n: int, order: tuple[str, ...] = ("time", "id"), block: str | int = BLOCK_TIME) -> DataFrame:
+    """events(symbol, time, ...) with each of the last n rows of its symbol strictly before its time: adds place (1 is the nearest) and rows' columns, the time as row_time. Events with none go.
+
+    Rows are numbered within blocks of time and by how many came before; the number of the last one is an as-of lookup, and the n rows up to
+    it are a bucketed range join.
+    """
+    r = before_blocks(rows.withColumn("_b", block_of(rows, "time", block)), ["symbol"], "_b", sums={"_before": F.lit(1)})
+    r = r.withColumn("bar_id", F.col("_before") + F.row_number().over(Window.partitionBy("symbol", "_b").orderBy(*order)) - 1).drop("_before", "_b")
+    newest = r.groupBy("symbol", "time").agg(F.max("bar_id").alias("i0"))
+    e = as_of(events, newest, strict=True, block=block).where("i0_r is not null").withColumnRenamed("i0_r", "i0").drop("time_r")
+    out = in_reach(e, r.withColumnRenamed("time", "row_time"), n - 1, 0)
+    return out.withColumn("place", (F.col("i0") - F.col("bar_id") + 1).cast("int")).drop("i0", "bar_id")
+
+
 def ols(y: str, x: str) -> dict[str, Column]:
     """Aggregates of a regression of y on x with intercept: slope, intercept, t value of the slope, correlation, residual deviation."""
     yy = F.when(F.col(x).isNotNull(), F.col(y))

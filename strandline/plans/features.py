@@ -10,8 +10,8 @@ from strandline.functions.windows import atr, bollinger, div, gate, lag, order,
 from strandline.operators import encodings as E
 from strandline.operators import levels as V
 from strandline.operators.bootstrap import block_indices, recency_weights, stair_weights
-from strandline.operators.paths import as_of, ols, path
-from strandline.sources.tables import BARS, PAIR
+from strandline.operators.paths import as_of, last_rows, ols, path
+from strandline.sources.tables import BARS, PAIR, TICKS
 
 from . import sqltext as S
 from .events import _PATH, EV, falling
@@ -49,6 +49,23 @@ for _below, _n in ((True, "w22_support_distance"), (False, "w22_resistance_dista
         return V.nearest_levels(falling(t), t.bars, 60, 3, 3, below).withColumn("value", F.round("value", 6))
 
 
+def _norm_sql(below: bool) -> str:
+    side, way = ("<", "desc") if below else (">", "asc")
+    pivot = " or ".join(f"({f}(close) over a {op} close and {f}(close) over b {op} close)" for f, op in (("min", ">="), ("max", "<=")))
+    return EV + f""", pv as (select symbol, bar_id, close from bars window a as (partition by symbol order by bar_id rows between 3 preceding and 1 preceding), b as (partition by symbol order by bar_id rows between 1 following and 3 following) qualify count(*) over a = 3 and count(*) over b = 3 and ({pivot})),
+sd as (select symbol, bar_id, case when count(close) over w = 60 then stddev_samp(ln(close)) over w end as sd from bars window w as (partition by symbol order by bar_id rows between 59 preceding and current row)),
+j as (select e.symbol, e.i0, e.p0, pv.close, row_number() over (partition by e.symbol, e.i0 order by pv.close {way}, pv.bar_id) as n from ev e join pv on pv.symbol = e.symbol and pv.bar_id between e.i0 - 60 and e.i0 - 3 and pv.close {side} e.p0),
+g as (select symbol, i0, abs(ln(avg(close) / any_value(p0))) as v from j where n <= 3 group by symbol, i0)
+select g.symbol, g.i0, round(v / nullif(sd, 0), 6) as value from g join sd on sd.symbol = g.symbol and sd.bar_id = g.i0"""
+
+
+for _below, _n in ((True, "w22_support_both_norm"), (False, "w22_resistance_both_norm")):
+
+    @query(_n, _norm_sql(_below))
+    def w22_norm(t, below=_below):
+        return V.nearest_levels(falling(t), t.bars, 60, 3, 3, below, both=True, norm=True).withColumn("value", F.round("value", 6))
+
+
 @query("w23_level_ratio")
 def w23(t):
     sd = path(falling(t), t.bars.withColumn("lc", F.ln("close")), "lc", 20).groupBy("symbol", "i0").agg(F.stddev_pop("value").alias("value"))
@@ -133,6 +150,13 @@ def p9(t):
     return j.select("user_id", F.col("time_r").alias("time"), F.col("least_r").alias("least"), F.col("most_r").alias("most"), F.round((F.col("most_r") - F.col("least_r")) / (F.col("most_r") + F.col("least_r")), 6).alias("net"))
 
 
+@query("p9_depth_rows", f"with {TICKS}, e as (select user_id, event_type as symbol, min(ts) as time from events group by user_id, event_type) select e.user_id, e.symbol, e.time, (row_number() over (partition by e.user_id, e.symbol order by d.time desc, d.id desc))::int as place, d.time as row_time, d.id, d.price, d.qty from e join ticks d on d.symbol = e.symbol and d.time < e.time qualify row_number() over (partition by e.user_id, e.symbol order by d.time desc, d.id desc) <= 10")
+def p9_rows(t):
+    """The last ten rows before the first event of each user and kind, by place."""
+    e = t.read("events").groupBy("user_id", F.col("event_type").alias("symbol")).agg(F.min("ts").alias("time"))
+    return last_rows(e, t.ticks, 10).select("user_id", "symbol", "time", "place", "row_time", "id", "price", "qty")
+
+
 @query("p10_paths_regression", EV + ", p as (select e.symbol, e.i0, b.close as y, b.high as x from ev e join bars b on b.symbol = e.symbol and b.bar_id between e.i0 - 9 and e.i0) select symbol, i0, round(regr_slope(y, x), 6) as slope, round(regr_intercept(y, x), 4) as intercept from p group by symbol, i0")
 def p10(t):
     both = path(falling(t), t.bars, "close", 10).withColumnRenamed("value", "y").join(path(falling(t), t.bars, "high", 10).withColumnRenamed("value", "x"), ["symbol", "i0", "step"])
@@ -176,6 +200,12 @@ def n5(t):
     return E.quantile_messages(falling(t), _ret(t), "ret", 20, 3).select("symbol", "i0", "msg", F.round(E.match_entropy_of()("msg"), 6).alias("value"))
 
 
+@query("n5_redundancy")
+def n5_redundancy(t):
+    m = E.quantile_messages(falling(t), _ret(t), "ret", 20, 3).withColumn("h", E.match_entropy_of()("msg"))
+    return m.select("symbol", "i0", "msg", F.round(E.redundancy(F.col("h"), F.col("msg")), 6).alias("value"))
+
+
 @query("e9_two_factor")
 def e9(t):
     return E.two_factor(falling(t).select("symbol", "i0", "p0", "vol"), 6, 2.0).select("symbol", "i0")

@@ -153,7 +153,13 @@ def s17(t):
 def s18(t):
     """Markets of one quote that are active: a dimension with a filter that reaches the scan."""
     p = t.read("part")
-    return p.where("p_size > 10").join(F.broadcast(p.agg(F.min("p_type").alias("least"))), F.col("p_type") != F.col("least")).select("p_partkey", F.col("p_brand").alias("base"))
+    return p.where("p_size > 10").where(F.col("p_type") != p.agg(F.min("p_type")).scalar()).select("p_partkey", F.col("p_brand").alias("base"))
+
+
+@query("s18_listed_markets", "select p_brand as base, p_type as quote, p_partkey as id from part where p_type = 'STANDARD' and p_size % 2 = 0 and p_size > 10")
+def s18_listed(t):
+    p = t.read("part").select(F.col("p_brand").alias("base"), F.col("p_type").alias("quote"), F.when(F.col("p_size") % 2 == 0, "spot").otherwise("swap").alias("type"), (F.col("p_size") > 10).alias("active"), F.col("p_partkey").alias("id"))
+    return M.listed_markets(p, "STANDARD", "spot").select("base", "quote", "id")
 
 
 _BASES = """with spot as (select distinct upper(n_name) as base from nation where n_nationkey % 3 <> 1 union select unnest(['LUNA', 'DODO', 'PEPE'])),

@@ -68,11 +68,11 @@ def _ffd_sql(d: float) -> str:
 
 @query("r11_least_difference", f"with {BARS}, g as (" + " union all ".join(f"select symbol, {d}::double as dd, bar_id, {_ffd_sql(d)} as v from bars window o as (partition by symbol order by bar_id)" for d in _D) + "), l as (select *, lag(v) over o as l1, lag(v, 2) over o as l2 from g window o as (partition by symbol, dd order by bar_id)), d as (select symbol, dd, v - l1 as y, l1 as a, l1 - l2 as b from l)" + _SUMS.format(k="symbol, dd") + " select symbol, min(case when t < -4 then dd end) as d from t group by symbol")
 def r11(t):
-    """The least d of the grid whose difference passes an ADF test at -4: eleven windows and one aggregation of sums."""
-    tests = None
-    for d in _D:
-        v = t.bars.select("symbol", "bar_id", fractional_difference(F.ln("close"), d).alias("v"))
-        v = v.withColumn("l1", lag("v")).withColumn("l2", lag("v", 2)).select("symbol", (F.col("v") - F.col("l1")).alias("y"), F.col("l1").alias("a"), (F.col("l1") - F.col("l2")).alias("b"))
-        one = v.groupBy("symbol").agg(U.two_regressors("y", "a", "b")["t"].alias("t")).withColumn("d", F.lit(d))
-        tests = one if tests is None else tests.unionByName(one)
+    """The least d of the grid whose difference passes an ADF test at -4: all differences in one scan and window, one aggregation of sums keyed by d."""
+    names = [f"v{k}" for k in range(len(_D))]
+    v = t.bars.select("symbol", "bar_id", *[fractional_difference(F.ln("close"), d).alias(n) for n, d in zip(names, _D)])
+    each = [F.struct(F.lit(d).alias("d"), F.col(n).alias("v"), lag(n).alias("l1"), lag(n, 2).alias("l2")) for n, d in zip(names, _D)]
+    long = v.select("symbol", F.array(*each).alias("x")).select("symbol", F.explode("x").alias("x")).select("symbol", "x.*")
+    long = long.select("symbol", "d", (F.col("v") - F.col("l1")).alias("y"), F.col("l1").alias("a"), (F.col("l1") - F.col("l2")).alias("b"))
+    tests = long.groupBy("symbol", "d").agg(U.two_regressors("y", "a", "b")["t"].alias("t"))
     return tests.groupBy("symbol").agg(F.min(F.when(F.col("t") < -4, F.col("d"))).alias("d"))

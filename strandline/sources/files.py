@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import io
 import zipfile
 from collections.abc import Callable, Iterator, Sequence
@@ -19,13 +20,17 @@ KLINES = ("open_time", "open", "high", "low", "close", "volume", "close_time", "
 TRADES = ("id", "price", "qty", "quote_qty", "time", "is_buyer_maker")
 
 
-def read_zips(spark: SparkSession, path: str, columns: Sequence[str], wanted: dict[str, str], kinds: dict[str, str] | None = None) -> DataFrame:
+def read_zips(spark: SparkSession, path: str, columns: Sequence[str], wanted: dict[str, str], kinds: dict[str, str] | None = None, bad: str | None = None) -> DataFrame:
     """The first CSV of every zip (or the file itself, if it isn't one) under path: the wanted columns under new names, as doubles but for
-    `kinds`; times in milliseconds where the kind is `ms`.
+    `kinds`; times in milliseconds where the kind is `ms`. Cells may be quoted.
 
-    A first line that is not the header is data and has its cells repaired. A file that can't be opened has no rows. Files are tasks of their own, read line by line.
+    A first line that is not the header is data and has its cells repaired. A line of another number of cells is no row: with `bad` it is
+    told in a column of that name, next to nulls, and without, the read fails with the file's name and the line. Blank lines are nothing. A file that
+    can't be opened has no rows. Files are read line by line, each by one task; Arrow batches have at most 16 MB of files, or one.
     """
-    names = list(columns)
+    names, told = list(columns), bad is not None
+    if not getattr(spark, "_strandline_bytes", False):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
 
     def lines(content: bytes) -> Iterator[str]:
         try:
@@ -39,26 +44,32 @@ def read_zips(spark: SparkSession, path: str, columns: Sequence[str], wanted: di
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for content in b["content"].to_pylist():
+            for file, content in zip(b["path"].to_pylist(), b["content"]):
                 held = []
-                for k, line in enumerate(lines(content)):
-                    cells = line.rstrip("\r\n").split(",")
-                    if len(cells) == len(names) and not (k == 0 and cells == names):
-                        held.append((k == 0, *cells))
+                for k, line in enumerate(lines(content.as_py())):
+                    cells = next(csv.reader([line.rstrip("\r\n")]), [])
+                    if not cells or (k == 0 and cells == names):
+                        continue
+                    if len(cells) == len(names):
+                        held.append((k == 0, None, *cells))
+                    elif told:
+                        held.append((False, line.rstrip("\r\n"), *[None] * len(names)))
+                    else:
+                        raise ValueError(f"{file}, line {k + 1}: {len(cells)} cells in place of {len(names)}")
                     if len(held) >= LINES:
                         yield _batch(held, names)
                         held = []
                 if held:
                     yield _batch(held, names)
 
-    raw = spark.read.format("binaryFile").load(path).select("content").mapInArrow(rows, "_first boolean, " + ", ".join(f"`{c}` string" for c in names))
+    raw = spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(rows, "_first boolean, _bad string, " + ", ".join(f"`{c}` string" for c in names))
     cell = lambda c: F.when(F.col("_first"), repaired(c)).otherwise(F.col(c))
-    return raw.select(*[_as((kinds or {}).get(c, "double"), cell(c)).alias(new) for c, new in wanted.items()])
+    return raw.select(*[_as((kinds or {}).get(c, "double"), cell(c)).alias(new) for c, new in wanted.items()], *([F.col("_bad").alias(bad)] if told else []))
 
 
 def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
-    kinds = [pa.bool_()] + [pa.string()] * len(names)
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["_first", *names])
+    kinds = [pa.bool_()] + [pa.string()] * (len(names) + 1)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["_first", "_bad", *names])
 
 
 def _as(kind: str, x: Column) -> Column:

@@ -11,6 +11,7 @@ from strandline.functions.metrics import student_tail
 from strandline.operators import encodings as E
 from strandline.operators import levels as V
 from strandline.operators.events import cusum_events, non_overlapping, sum_exits
+from strandline.operators.paths import last_rows
 
 
 @pytest.mark.parametrize("block", [3, 4096])
@@ -152,3 +153,59 @@ def test_quantile_messages(spark, block, splits):
             so_far, near = ([y for y in z if y is not None] for z in (v[: i + 1], v[max(0, i - 11) : i + 1]))
             edges = np.quantile(so_far, [0.25, 0.5, 0.75]) if so_far else []
             assert got.get((s, i)) == ("".join(str(int(sum(q <= x + 1e-12 for q in edges))) for x in near) if near else None)
+
+
+def test_level_ratio(spark):
+    """Pivots walked back one by one: those over half a deviation that set a new extreme, in greedy bins."""
+    r = random.Random(6)
+    closes = [100 + 6 * math.sin(i / 3) + r.gauss(0, 2) for i in range(160)]
+    bars = spark.createDataFrame([("a", i, c) for i, c in enumerate(closes)], "symbol string, bar_id long, close double")
+    at = list(range(60, 160, 7))
+    events = spark.createDataFrame([("a", i, closes[i]) for i in at], "symbol string, i0 long, p0 double")
+    deviations = spark.createDataFrame([("a", i, 0.01 + i / 10_000) for i in at], "symbol string, i0 long, value double")
+    got = {x["i0"]: x["value"] for x in V.level_ratio(events, bars, deviations, 50, 3).collect()}
+    for i in at:
+        up, down = [], []
+        for k in range(i - 3, i - 51, -1):
+            near = closes[k - 3 : k] + closes[k + 1 : k + 4]
+            if k >= 3 and (max(near) <= closes[k] or min(near) >= closes[k]):
+                z = math.log(closes[k] / closes[i]) / (0.01 + i / 10_000)
+                if z > 0.5 and z >= max(up, default=z):
+                    up.append(z)
+                if z < -0.5 and z <= min(down, default=z):
+                    down.append(z)
+
+        def bins(levels):
+            out, held = [], []
+            for z in levels:
+                if held and abs(z - held[0]) > 0.5:
+                    out.append(sum(held) / len(held))
+                    held = []
+                held.append(z)
+            return [*out, 8.0, 8.0][:2]
+
+        assert got[i] == pytest.approx(abs(sum(bins(up)) / sum(bins(down))))
+
+
+def test_redundancy(spark):
+    df = spark.createDataFrame([("0110100110010110", 0.9), ("1", 0.5), (None, None)], "m string, h double")
+    got = [x[0] for x in df.select(E.redundancy(F.col("h"), F.col("m"))).collect()]
+    assert got[0] == pytest.approx(1 - 0.9 / 4) and got[1:] == [None, None]
+
+
+@pytest.mark.parametrize("block", ["1 second", "2 hours", "90 days"])
+def test_last_rows(spark, block):
+    import datetime as dt
+
+    r = random.Random(2)
+    start = dt.datetime(2024, 1, 1)
+    at = lambda: start + dt.timedelta(minutes=r.randrange(900))
+    rows = [(r.choice("ab"), at(), i, float(i)) for i in range(300)]
+    events = [(r.choice("abc"), at(), k) for k in range(60)]
+    got = last_rows(spark.createDataFrame(events, "symbol string, time timestamp_ntz, k long"), spark.createDataFrame(rows, "symbol string, time timestamp_ntz, id long, x double"), 4, block=block)
+    want = set()
+    for s, t, k in events:
+        before = sorted((y, i) for x, y, i, _ in rows if x == s and y < t)
+        want |= {(k, p, i) for p, (_, i) in enumerate(reversed(before[-4:]), 1)}
+    found = [(x["k"], x["place"], x["id"]) for x in got.collect()]
+    assert len(found) == len(set(found)) and set(found) == want

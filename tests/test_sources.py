@@ -4,6 +4,7 @@ import datetime as dt
 import zipfile
 
 import pandas as pd
+import pytest
 
 from strandline.operators import markets as M
 from strandline.sources import files as S
@@ -23,6 +24,14 @@ def test_zips(spark, tmp_path):
     assert df.agg({"Time": "min"}).first()[0] == dt.datetime(2023, 11, 14, 22, 13, 20)
 
 
+def test_lines_of_another_length_are_told(spark, tmp_path):
+    (tmp_path / "a.zip").write_text(",".join(S.TRADES) + '\n1,"10.5",2,21,1700000000000,true\n\n2,11,1\n3,"1,5",2,3,1700000000000,true\n4,1,2,3,1700000000000,true,x\n')
+    ask = lambda **x: S.read_zips(spark, f"file://{tmp_path}", S.TRADES, {"id": "id", "price": "price"}, {"id": "long"}, **x)
+    assert {tuple(r) for r in ask(bad="odd").collect()} == {(1, 10.5, None), (None, None, "2,11,1"), (3, None, None), (None, None, "4,1,2,3,1700000000000,true,x")}
+    with pytest.raises(Exception, match="a.zip, line 4: 3 cells in place of 6"):
+        ask().count()
+
+
 def test_csv_and_sink(spark, tmp_path):
     (tmp_path / "x.csv").write_text("Time,Close\n1700000000000,1.5\n2023-11-14 22:13:21,2\n,3\n")
     got = [tuple(r) for r in S.read_csv(spark, f"file://{tmp_path}/x.csv").collect()]
