@@ -13,7 +13,8 @@ Spark deals the documents by a hash of the id into shards of about SHARD documen
 (id, size) pairs. Bins are not shared by shards, which costs at most a few part-filled bins in each of them.
 
 Defined results: null text, texts without words and null sizes have size 0 and a piece of size 0 in the shard's first bin; equal sizes go by id,
-null first; an empty table gives an empty result; rows that repeat an id are packed as rows of their own.
+null first; an empty table gives an empty result; rows that repeat an id, or have none, are packed as rows of their own; other
+columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -86,11 +87,12 @@ def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     from pyspark.sql.pandas.types import to_arrow_type
 
     top = max(capacities)
-    n = max(1, -(-df.count() // shard))
     size = F.coalesce(F.col(size_col), F.lit(0)) if size_col else F.regexp_count(text_of(text_col), F.lit(WORD))
-    sized = df.select(F.col(id_col).alias("id"), size.cast("long").alias("size"))
-    # A repeated id would put all its rows in one shard, so the size takes part in the deal as well.
-    dealt = sized.withColumn("shard", F.pmod(F.xxhash64("id", "size"), F.lit(n)))
+    sized = written(df.select(F.col(id_col).alias("id"), size.cast("long").alias("size")))
+    n = max(1, -(-sized.count() // shard))
+    # A repeated id would put all its rows in one shard, so the size takes part in the deal as well; rows without an id are dealt by their place in the written table.
+    place = F.when(F.col("id").isNull(), F.monotonically_increasing_id())
+    dealt = sized.withColumn("shard", F.pmod(F.xxhash64("id", "size", place), F.lit(n)))
     kind = to_arrow_type(sized.schema["id"].dataType)
 
     def run(table: pa.Table) -> pa.Table:
@@ -106,6 +108,6 @@ def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def pack_tokens(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacities: Sequence[int] = CAPACITIES, shard: int = SHARD) -> DataFrame:
-    """pack_documents with sizes in tokens of the tokenizer file at path; they are counted once and written."""
-    counted = written(token_counts(df, path, id_col, text_col).select(id_col, "n_tokens"))
+    """pack_documents with sizes in tokens of the tokenizer file at path; they are counted once."""
+    counted = token_counts(df, path, id_col, text_col).select(id_col, "n_tokens")
     return pack_documents(counted, id_col, capacities=capacities, shard=shard, size_col="n_tokens")

@@ -9,7 +9,7 @@ are divided by the hash of the id.
 
 A weighted median is found by a radix descent, for all nodes of a level at once: bytes are summed by (node, digit of the
 key), the digit in which the median lies is kept, and the next digit is looked at among its points only. So no node, however hot its
-source or group of copies, is sorted or meets in one task; windows run over at most 65,537 sums a node. All is DataFrame work.
+source or group of copies, is sorted or meets in one task; windows run over at most 8192 sums a node. All is DataFrame work.
 
 Slots number a shard's rows by a hash of id and text: rows are counted by (shard, range of the hash) and numbered within a range.
 
@@ -91,7 +91,7 @@ def _cuts(rows: DataFrame, nodes: DataFrame, whole: float) -> DataFrame:
         known = {"key": F.col("_key"), "pick": F.col("_pick")} | {col: F.col("digit")}
         return written(sums.select("low", "goal", "total", (F.col("after") - F.col("w")).alias("floor"), "w", known["key"].alias("key"), known["pick"].alias("pick")))
 
-    for shift, width in ((32, 17), (16, 16), (0, 16)):
+    for shift, width in ((36, 13), (24, 12), (12, 12), (0, 12)):
         cut = descend(cut, "key", [], shift, width)
     heavy = F.col("w") > F.col("total") * whole
     last = F.col("goal") - F.col("floor") >= F.col("w") / 2
@@ -99,8 +99,8 @@ def _cuts(rows: DataFrame, nodes: DataFrame, whole: float) -> DataFrame:
     cut = cut.where(heavy)
     if not cut.take(1):
         return done
-    for shift in (16, 0):
-        cut = descend(cut, "pick", ["key"], shift, 16)
+    for shift, width in ((21, 11), (10, 11), (0, 10)):
+        cut = descend(cut, "pick", ["key"], shift, width)
     return written(done.unionByName(cut.select("low", "key", F.lit(False).alias("whole"), "pick", last.alias("last"))))
 
 

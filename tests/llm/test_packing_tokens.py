@@ -109,3 +109,12 @@ def test_pack_is_near_the_best_split():
         least = min(sum(map(need, b)) for b in splits(tuple(sizes)))
         ratio.append(sum(map(cost, pack(sizes, capacities)[2])) / least)
     assert sum(ratio) / len(ratio) < 1.1 and max(ratio) < 1.5
+
+
+def test_rows_without_an_id_are_spread(spark):
+    from strandline.llm.packing import pack_documents
+
+    docs = spark.createDataFrame([(None, "one two three")] * 900 + [(k, "one two") for k in range(100)], "doc_id long, text string").repartition(4)
+    got = pack_documents(docs, shard=100).collect()
+    shards = [r["bin_id"].split("-")[0] for r in got if r["doc_id"] is None]
+    assert len(shards) == 900 and max(map(shards.count, set(shards))) < 250 and sum(r["size"] for r in got) == 2900
