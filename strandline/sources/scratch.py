@@ -17,4 +17,6 @@ def cut(df: DataFrame) -> DataFrame:
         root = spark._strandline_scratch = "file://" + tempfile.mkdtemp(prefix="strandline-")
     path = f"{root.rstrip('/')}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)  # the session's end deletes it
     return spark.read.schema(df.schema).parquet(path)

@@ -44,6 +44,13 @@ class Tables:
         a, b = (self.bars.where(F.col("symbol") == s).select("time", F.col("close").alias(c)) for s, c in (("click", "y"), ("view", "x")))
         return number_bars(a.join(b, "time").withColumn("symbol", F.lit("click/view")))
 
+    @cached_property
+    def pairs(self) -> DataFrame:
+        """Every two symbols' bars at the hours that both have, as in pair: a join by the hour, with as many rows an hour as there are pairs of symbols."""
+        a, b = (self.bars.select(F.col("symbol").alias(s), "time", F.col("close").alias(c)) for s, c in (("_a", "y"), ("_b", "x")))
+        both = a.join(b, "time").where("_a < _b").select(F.concat_ws("/", "_a", "_b").alias("symbol"), "time", "y", "x")
+        return number_bars(both)
+
 
 #: The same views for SQL, to go after `with`.
 TICKS = """ticks as (
@@ -60,3 +67,6 @@ days as (select *, row_number() over (partition by symbol order by time) - 1 as
 PAIR = BARS + """, pair0 as (
   select 'click/view' as symbol, time, a.close as y, b.close as x from bars a join bars b using (time) where a.symbol = 'click' and b.symbol = 'view'),
 pair as (select *, row_number() over (partition by symbol order by time) - 1 as bar_id from pair0)"""
+PAIRS = BARS + """, pairs0 as (
+  select a.symbol || '/' || b.symbol as symbol, a.time, a.close as y, b.close as x from bars a join bars b on a.time = b.time and a.symbol < b.symbol),
+pairs as (select *, row_number() over (partition by symbol order by time) - 1 as bar_id from pairs0)"""
