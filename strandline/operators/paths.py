@@ -43,26 +43,24 @@ def as_of(left: DataFrame, right: DataFrame, key: str = "symbol", time: str = "t
 
     A sorted union by (key, block of time), linear in both sides and with no task that holds a key's history: the last row
     of right in each block (first, if forward) is carried over the blocks to come by a window over a row for each block. Of rows of right
-    at one time any may be taken; a null key meets nothing.
+    at one time any may be taken; a null key or time meets nothing.
     """
     cols = [c for c in right.columns if c != key]
     width = block_of(left, time, block)
     r_first = 1 if strict ^ forward else 0
     own = F.struct(*[F.col(c) for c in cols])
+    right = right.where(F.col(key).isNotNull() & F.col(time).isNotNull())
     r = right.select(key, F.col(time).alias("_t"), width.alias("_b"), F.lit(r_first).alias("_side"), own.alias("_r"), F.lit(None).cast(left.select(F.struct("*")).schema[0].dataType).alias("_l"))
     lf = left.select(key, F.col(time).alias("_t"), width.alias("_b"), F.lit(1 - r_first).alias("_side"), F.lit(None).cast(r.schema["_r"].dataType).alias("_r"), F.struct("*").alias("_l"))
-    w = Window.partitionBy(key, "_b").orderBy("_t", "_side")
-    over = Window.partitionBy(key).orderBy("_b")
-    if forward:
-        w, over = w.rowsBetween(0, Window.unboundedFollowing), over.rowsBetween(1, Window.unboundedFollowing)
-    else:
-        w, over = w.rowsBetween(Window.unboundedPreceding, 0), over.rowsBetween(Window.unboundedPreceding, -1)
+    # Forward goes down in time: a frame from the start of its partition is carried on row by row, one to its end is gone through anew for each.
+    down = F.desc if forward else F.asc
+    w = Window.partitionBy(key, "_b").orderBy(down("_t"), down("_side")).rowsBetween(Window.unboundedPreceding, 0)
+    over = Window.partitionBy(key).orderBy(down("_b")).rowsBetween(Window.unboundedPreceding, -1)
     u = lf.unionByName(r)
-    pick = F.first if forward else F.last
     ends = r.groupBy(key, "_b").agg((F.min_by if forward else F.max_by)("_r", "_t").alias("_end"))
     blocks = lf.select(key, "_b").distinct().join(ends, [key, "_b"], "full")
-    carried = blocks.select(key, "_b", pick("_end", ignorenulls=True).over(over).alias("_end"))
-    m = u.withColumn("_m", pick("_r", ignorenulls=True).over(w)).where(F.col("_l").isNotNull())
+    carried = blocks.select(key, "_b", F.last("_end", ignorenulls=True).over(over).alias("_end"))
+    m = u.withColumn("_m", F.last("_r", ignorenulls=True).over(w)).where(F.col("_l").isNotNull())
     m = m.join(sized(carried), (F.col(f"_l.{key}") == carried[key]) & (m["_b"] == carried["_b"]), "left").withColumn("_m", F.coalesce("_m", "_end"))
     return m.select("_l.*", *[F.col(f"_m.{c}").alias(f"{c}{suffix}") for c in cols])
 

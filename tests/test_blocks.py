@@ -88,3 +88,18 @@ def test_no_window_holds_a_symbol(spark):
     plan = as_of(ticks, ticks.select("symbol", "time", "price"))._jdf.queryExecution().analyzed().toString()
     whole = [x for x in plan.splitlines() if "Window [" in x and "[symbol" in x and "_b" not in x.split("], [")[1]]
     assert all("_end" in x for x in whole)
+
+
+@pytest.mark.parametrize("forward", [False, True])
+def test_frames_begin_with_their_partition(spark, forward):
+    """A frame that runs to its partition's end is gone through anew for each row, so it is quadratic in the rows of a block, and over the blocks of a symbol."""
+    ticks = spark.createDataFrame(trades(), SCHEMA)
+    plan = as_of(ticks, ticks.select("symbol", "time", "price"), forward=forward)._jdf.queryExecution().analyzed().toString().lower()
+    assert plan.count("windowframe(") >= 2 and "unboundedpreceding" in plan and "unboundedfollowing" not in plan
+
+
+@pytest.mark.parametrize("forward", [False, True])
+def test_nulls_meet_nothing(spark, forward):
+    rows = [(s, t, k) for k, (s, t) in enumerate((s, t) for s in ("a", None) for t in (START, None))]
+    df = spark.createDataFrame(rows, "symbol string, time timestamp_ntz, k long")
+    assert {x["k"]: x["k_r"] for x in as_of(df, df, forward=forward).collect()} == {0: 0, 1: None, 2: None, 3: None}
